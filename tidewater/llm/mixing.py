@@ -23,7 +23,7 @@ from tidewater.llm.common import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows aimed at per bucket of a running sum.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 EPOCHS = 2
 
 

@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import mixing, sharding, url_filter
+from tidewater.llm import bpe, media, mixing, sharding, url_filter
 from tidewater.llm.common import table
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.read(media.store(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"))
@@ -24,12 +33,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
 
 
+def _vocabulary() -> str:
+    """Path of the public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+VOCABULARY = _vocabulary()
 #: Shards of the registered query.
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mix_sources, op8_shard_lookup, op10_url_filter)}
+    return {f.__name__: f for f in (op2_media_columns, op4_bpe, op5_mix_sources, op8_shard_lookup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
