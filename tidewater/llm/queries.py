@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, media, mixing, sharding, url_filter
+from tidewater.llm import bpe, langid, media, mixing, sharding, url_filter, warc
 from tidewater.llm.common import table
 
 
@@ -25,10 +25,23 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    model = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
 
@@ -46,8 +59,8 @@ SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op4_bpe, op5_mix_sources, op8_shard_lookup, op10_url_filter)}
+    return {f.__name__: f for f in (op2_media_columns, op4_bpe, op5_mix_sources, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {"op5_mix_sources": mixing.ORACLE, "op9_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
