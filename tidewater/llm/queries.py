@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, langid, media, mixing, sharding, url_filter, warc
+from tidewater.llm import ann, bpe, langid, media, mixing, repeats, sharding, url_filter, warc
 from tidewater.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -63,7 +67,7 @@ SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_media_columns, op4_bpe, op5_mix_sources, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ann, op2_media_columns, op3_repeated_bytes, op4_bpe, op5_mix_sources, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
