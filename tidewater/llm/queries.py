@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, langid, media, mixing, repeats, sharding, url_filter, warc
+from tidewater.llm import ann, bpe, langid, media, mixing, near, repeats, sharding, url_filter, warc
 from tidewater.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
@@ -67,7 +71,7 @@ SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_media_columns, op3_repeated_bytes, op4_bpe, op5_mix_sources, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ann, op2_media_columns, op3_repeated_bytes, op4_bpe, op5_mix_sources, op6_near_duplicates, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
