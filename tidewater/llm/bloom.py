@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_BITS, LEAST_BITS, BITS_A_KEY, SEGMENT = 1 << 29, 1 << 19, 10, 1 << 16
+MOST_BITS, LEAST_BITS, BITS_A_KEY, SEGMENT = 1 << 29, 1 << 19, 20, 1 << 16
 
 
 def mixed(*columns: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def bits_for(keys: int) -> int:
 
 
 def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for shift in (0, 21, 42):
+    for shift in (0, 11, 22, 33, 44):
         yield ((hashes >> np.uint64(shift)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
 
 

@@ -5,7 +5,7 @@ same document before. Rows that agree in id and text are one document and get th
 
 Equal windows of LENGTH bytes meet as follows. Each window picks, by content alone, one of its SEED-byte
 grams (the leftmost least by hash) as its anchor. So equal windows lie alike around equal anchors. The
-windows of one anchor form a context, a stretch of text of 100 to 168 bytes. Anchors that occur once in
+windows of one anchor form a context, a stretch of text of 100 to 152 bytes. Anchors that occur once in
 the corpus are out. Equal contexts are counted together. Where an anchor has different contexts, they are
 laid end to end, and their suffix array (see suffix.py), built by the linear grouping construction, brings
 equal windows side by side; each class of equal windows takes the earliest place of its members.
@@ -35,11 +35,11 @@ from tidewater.llm import bloom
 from tidewater.llm.common import release, written
 from tidewater.llm.suffix import suffix_arrays
 
-LENGTH, SEED = 100, 32
+LENGTH, SEED = 100, 48
 SPAN = LENGTH - SEED + 1
 #: Contexts of an anchor beyond which it is dealt out; windows of a cell then; symbols of a suffix array;
 #: symbols worked on at once.
-HOT, CELL, BLOCK, BATCH = 512, 8, 4096, 1 << 20
+HOT, CELL, BLOCK, BATCH = 512, 8, 4096, 1 << 18
 #: Copies whose ids are broadcast; beyond it that join shuffles. Text bytes per partition of the anchors.
 FEW_COPIES, PARTITION = 500_000, 64 << 20
 
@@ -222,135 +222,154 @@ def _contexts(texts: DataFrame, wanted, hot) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'bytes' else 'bigint'}" for n in names))
 
 
-def classes(strings: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of strings: group, and for all windows in it the string, the start there and the class;
-    windows of a class are equal. Groups of more than BLOCK symbols come one at a time."""
-    order = sorted(range(len(strings)), key=lambda i: sum(map(len, strings[i])))
-    start = 0
-    while start < len(order):
-        taken, size = [], 0
-        while start < len(order) and (not taken or size + sum(map(len, strings[order[start]])) <= BATCH):
-            taken.append(order[start])
-            size += sum(map(len, strings[order[start]])) + len(strings[order[start]])
-            start += 1
-        yield from _classes_of(taken, strings)
-
-
-def _classes_of(taken: list[int], strings: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    # symbol 0 parts the strings of a group
-    lengths = np.array([len(s) for g in taken for s in strings[g]])
-    raw = np.frombuffer(b"\0".join(s for g in taken for s in strings[g]) + b"\0", np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(lengths + 1)
-    raw[ends - 1] = 0
-    begins = ends - lengths - 1
-    counts = np.array([len(strings[g]) for g in taken])
-    bounds = np.append(begins[np.cumsum(counts) - counts], len(raw))
-    found = suffix_arrays(raw, bounds)
-    string_of = np.repeat(np.arange(len(lengths)), lengths + 1)
-    found = found[ends[string_of[found]] - 1 - found >= LENGTH]  # whole windows
-    if not len(found):
-        return
-    windows = np.lib.stride_tricks.sliding_window_view(raw.astype(np.uint16), LENGTH)
-    new = np.ones(len(found), bool)
-    group_of = np.repeat(np.arange(len(taken)), counts)[string_of[found]]
-    for i in range(1, len(found), 1 << 14):
-        here = found[i : i + (1 << 14)]
-        new[i : i + len(here)] = (windows[here] != windows[found[i - 1 : i - 1 + len(here)]]).any(axis=1)
-    new[1:] |= group_of[1:] != group_of[:-1]
-    number = np.cumsum(new) - 1
-    firsts = np.cumsum(counts) - counts
-    cuts = np.flatnonzero(np.diff(group_of, prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(found)), strict=True):
-        s = string_of[found[a:b]]
-        g = group_of[a]
-        yield taken[g], s - firsts[g], found[a:b] - begins[s], number[a:b]
-
-
-def _split(items: list[tuple], low: int, high: int) -> Iterator[tuple[list[tuple], int, int]]:
-    """Groups of contexts for one suffix array: large ones are dealt out by the bytes that all windows
-    from low to high (by distance from the anchor) share, over ever fewer windows."""
-    if high == low or len(items) < 2 or sum(len(x[-1]) for x in items) <= BLOCK:
-        yield items, low, high
+def windows(blocks: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For all windows in blocks of strings: the string (counted over all blocks), the start there, and a class;
+    two windows have one class if they are in one block and equal."""
+    size = np.array([sum(map(len, b)) + len(b) for b in blocks])
+    first = np.cumsum([0] + [len(b) for b in blocks])
+    order = np.argsort(size, kind="stable")
+    a = classes = 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(np.cumsum(size[order[a:]]), BATCH, side="right")) + a)
+        taken = order[a:b]
+        a = b
+        number = np.concatenate([np.arange(first[g], first[g + 1]) for g in taken])
+        strings = [s for g in taken for s in blocks[g]]
+        # symbol 0 parts the strings of a block
+        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        lengths = np.array([*map(len, strings)])
+        ends = np.cumsum(lengths + 1)
+        symbols[ends - 1] = 0
+        begins = ends - lengths - 1
+        found = suffix_arrays(symbols, np.append(0, np.cumsum(size[taken])))
+        string = np.repeat(np.arange(len(strings)), lengths + 1)[found]
+        whole = ends[string] - 1 - found >= LENGTH
+        found, string = found[whole], string[whole]
+        if not len(found):
+            continue
+        views = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint8 if symbols.max() < 256 else np.uint16), LENGTH)
+        new = np.ones(len(found), bool)
+        for i in range(1, len(found), 1 << 13):
+            here = found[i : i + (1 << 13)]
+            new[i : i + len(here)] = (views[here] != views[found[i - 1 : i - 1 + len(here)]]).any(axis=1)
+        block = np.repeat(np.arange(len(taken)), [len(blocks[g]) for g in taken])[string]
+        new[1:] |= block[1:] != block[:-1]
+        of = np.cumsum(new) - 1 + classes
+        classes = int(of[-1]) + 1
+        yield number[string], found - begins[string], of
+
+
+def _split(items: list[tuple[int, int, bytes]], low: int, high: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Contexts (number, first window, bytes) for one suffix array: large groups are dealt out by the bytes that all
+    windows from low to high (by distance from the anchor) share, over ever fewer windows."""
+    if high == low or len(items) < 2 or sum(len(x[2]) for x in items) <= BLOCK:
+        yield items
         return
     step = max(1, (high - low + 1) // 4)
     for a in range(low, high + 1, step):
         b = min(a + step - 1, high)
-        parts: dict[bytes, list[tuple]] = {}
-        for x in items:
-            start, data = x[-2], x[-1]
+        parts: dict[bytes, list[tuple[int, int, bytes]]] = {}
+        for i, start, data in items:
             last = start + len(data) - LENGTH
             if start <= b and last >= a:
                 from_, to = max(start, a), min(last, b)
-                parts.setdefault(data[b - start : a - start + LENGTH], []).append((*x[:-2], from_, data[from_ - start : to - start + LENGTH]))
+                parts.setdefault(data[b - start : a - start + LENGTH], []).append((i, from_, data[from_ - start : to - start + LENGTH]))
         for part in parts.values():
             yield from _split(part, a, b)
 
 
-def _verdicts(contexts: DataFrame) -> DataFrame:
-    """gram, context, low, high, e_ord, e_tie, e_at: windows [low, high] of that context occur first at that
-    anchor, which is not the first one of the context itself."""
-    names = ["gram", "context", "low", "high", "e_ord", "e_tie", "e_at"]
-
-    def solve(groups: list[list[tuple]]) -> pa.RecordBatch:
-        blocks: list[list[tuple]] = []
-        for items in groups:
-            # equal contexts (a filter may have passed some twice) count once, at their first place
-            best: dict[tuple, tuple] = {}
-            for x in sorted(items):
-                best.setdefault((x[3], x[4], x[5]), x)
-            kept = [*best.values()]
-            for part, *_ in _split(kept, min(x[-2] for x in kept), max(x[-2] + len(x[-1]) - LENGTH for x in kept)):
-                # contexts that are equal here share one string
-                blocks.append(part)
-        out: list[tuple] = []
-        strings, members = [], []
-        for part in blocks:
-            by_bytes: dict[tuple, list[tuple]] = {}
-            for x in part:
-                by_bytes.setdefault((x[-2], x[-1]), []).append(x)
-            members.append([*by_bytes.values()])
-            strings.append([k[1] for k in by_bytes])
-        for g, string, start, number in classes(strings):
-            owners = members[g]
-            places = [min(x[:3] for x in o) for o in owners]
-            order = sorted(range(len(owners)), key=places.__getitem__)
-            rank = np.empty(len(owners), np.int64)
-            rank[order] = np.arange(len(owners))
-            number = number - number.min()
-            first = np.full(number.max() + 1, len(owners), np.int64)
-            np.minimum.at(first, number, rank[string])
-            at = np.lexsort((start, string))
-            string, start, winner = string[at], start[at], first[number[at]]
-            cuts = np.flatnonzero((np.diff(string, prepend=-1) != 0) | (np.diff(winner, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
-            stops = np.append(cuts[1:], len(start)) - 1
-            for a, b in zip(cuts.tolist(), stops.tolist(), strict=True):
-                place = places[order[winner[a]]]
-                out += [(x[3], x[4], x[-2] + int(start[a]), x[-2] + int(start[b]), *place) for x in owners[string[a]] if x[:3] != place]
-        return pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], names=names)
+def earlier(groups: list[list[int]], place: list[tuple[int, int, int]], context: list[int], low: list[int], data: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """Contexts of anchors, group by group of equal anchors: (i, first, last) for windows of context i that some context
+    of its group with an earlier place has too."""
+    blocks: list[list[bytes]] = []
+    owner: list[int] = []
+    lows: list[int] = []
+    for group in groups:
+        best: dict[tuple[int, int], int] = {}  # a filter may have passed a context more than once
+        for i in group:
+            k = context[i], low[i]
+            if k not in best or place[i] < place[best[k]]:
+                best[k] = i
+        if len(best) < 2:
+            continue
+        items = [(i, low[i], data[i]) for i in best.values()]
+        for part in _split(items, min(x[1] for x in items), max(x[1] + len(x[2]) - LENGTH for x in items)):
+            shared: dict[tuple[int, bytes], int] = {}
+            for i, start, found in part:
+                k = start, found
+                if k not in shared:
+                    shared[k] = i
+                else:  # equal bytes: all windows of the later one are there before
+                    first, last = sorted((i, shared[k]), key=place.__getitem__)
+                    shared[k] = first
+                    yield last, start, start + len(found) - LENGTH
+            if len(shared) > 1:
+                blocks.append([k[1] for k in shared])
+                owner += shared.values()
+                lows += [k[0] for k in shared]
+    if not blocks:
+        return
+    order = sorted(range(len(owner)), key=lambda n: place[owner[n]])
+    rank = np.empty(len(owner), np.int64)
+    rank[order] = np.arange(len(owner))
+    for string, start, of in windows(blocks):
+        of = of - of.min()
+        least = np.full(of.max() + 1, len(owner), np.int64)
+        np.minimum.at(least, of, rank[string])
+        late = least[of] < rank[string]
+        string, start = string[late], start[late]
+        at = np.lexsort((start, string))
+        string, start = string[at], start[at]
+        cuts = np.flatnonzero((np.diff(string, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
+        stops = np.append(cuts[1:], len(start)) - 1
+        for n, a, b in zip(string[cuts].tolist(), start[cuts].tolist(), start[stops].tolist(), strict=True):
+            yield owner[n], lows[n] + a, lows[n] + b
+
+
+def _ranges(contexts: DataFrame) -> DataFrame:
+    """gram, context, low, high: windows of a context that an earlier context has. contexts: sorted by key."""
+    names = ["gram", "context", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[list[tuple]] = []
-        last, size = None, 0
+        last: int | None = None
+        place: list[tuple[int, int, int]] = []
+        gram: list[int] = []
+        context: list[int] = []
+        low: list[int] = []
+        data: list[bytes] = []
+        groups: list[list[int]] = []
+        size = 0
+
+        def solved() -> pa.RecordBatch:
+            out = [*earlier(groups, place, context, low, data)]
+            return pa.record_batch([pa.array([gram[r[0]] for r in out], pa.int64()), pa.array([context[r[0]] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=names)
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for key, gram, context, ord, tie, spot, start, data in zip(*columns, strict=True):
+            for key, g, c, ord, tie, spot, start, text in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if key != last:
-                    if size >= 4 * BATCH:
-                        yield solve(groups)
-                        groups, size = [], 0
+                    if size >= 16 * BATCH:
+                        yield solved()
+                        for x in (place, gram, context, low, data, groups):
+                            x.clear()
+                        size = 0
                     groups.append([])
                     last = key
-                groups[-1].append((ord, tie, spot >> 16, gram, context, spot, start, data))
-                size += len(data)
+                groups[-1].append(len(place))
+                place.append((ord, tie, spot >> 16))
+                gram.append(g)
+                context.append(c)
+                low.append(start)
+                data.append(text)
+                size += len(text)
         if groups:
-            yield solve(groups)
+            yield solved()
 
     return contexts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def intervals(texts: DataFrame, size: int) -> DataFrame:
-    """ord, tie, spans: array of (start, stop) to remove, in any order and overlapping, of the texts that lose
-    something. texts: ord, tie, text (binary, at least LENGTH bytes), without copies; size: bytes of all."""
+    """ord, tie, spans: array of start * 2**32 + stop to remove, in any order and overlapping, of the texts that
+    lose something. texts: ord, tie, text (binary, at least LENGTH bytes), without copies; size: bytes of all."""
     spark = texts.sparkSession
     share = spark.sparkContext.broadcast
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION)
@@ -362,21 +381,21 @@ def intervals(texts: DataFrame, size: int) -> DataFrame:
     by_gram = each.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total")).where("total > 1")
     groups = written(each.join(by_gram, "gram").select("gram", "context", "first", "n", "contexts"), "repeats-contexts")
     release(spark)
-    copied = groups.where("n > 1")
-    windows = lambda shift: F.shiftright(F.col("first.spot"), shift).bitwiseAND(F.lit(255)) - 128
-    plain = copied.select("gram", "context", windows(8).alias("low"), windows(0).alias("high"), F.col("first.ord").alias("e_ord"), F.col("first.tie").alias("e_tie"), F.shiftright("first.spot", 16).alias("e_at"))
     several = groups.where("contexts > 1")
     wanted = share(bloom.build(several.select("first.ord", "first.tie", "first.spot"), several.count()))
     hot = several.where(F.col("contexts") > HOT).select("gram").distinct()
     hot = share(bloom.build(hot, hot.count()))
     contexts = _contexts(texts, wanted, hot).repartition(partitions, "key").sortWithinPartitions("key")
-    sorted_out = written(_verdicts(contexts), "repeats-windows")
+    ranges = written(_ranges(contexts), "repeats-ranges")
     release(spark)
-    verdicts = plain.unionByName(sorted_out)
-    later = F.struct("ord", "tie", F.shiftright("spot", 16).alias("at")) > F.struct(F.col("e_ord").alias("ord"), F.col("e_tie").alias("tie"), F.col("e_at").alias("at"))
     at = F.shiftright("spot", 16)
-    hits = found.join(verdicts, ["gram", "context"]).where(later).select("ord", "tie", F.struct((at + F.col("low")).cast("int").alias("start"), (at + F.col("high") + LENGTH).cast("int").alias("stop")).alias("span"))
-    return written(hits.groupBy("ord", "tie").agg(F.collect_list("span").alias("spans")), "repeats-spans")
+    packed = lambda low, high: (F.shiftleft(at + low, 32) + (at + high + LENGTH)).alias("span")
+    window = lambda shift: F.shiftright("spot", shift).bitwiseAND(F.lit(255)) - 128
+    # the first occurrence of a context loses what earlier contexts have, every later one all its windows
+    firsts = groups.select("gram", "context", "first.ord", "first.tie", "first.spot").join(ranges, ["gram", "context"]).select("ord", "tie", packed(F.col("low"), F.col("high")))
+    copied = groups.where("n > 1").select("gram", "context", "first")
+    later = found.join(copied, ["gram", "context"]).where(F.struct("ord", "tie", "spot") > F.col("first")).select("ord", "tie", packed(window(8), window(0)))
+    return written(firsts.unionByName(later).groupBy("ord", "tie").agg(F.collect_list("span").alias("spans")), "repeats-spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -432,7 +451,7 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_
                 if copy:
                     rows.append((n, n, 1, digest, b""))
                     continue
-                runs = merged([(s["start"], s["stop"]) for s in found or ()])
+                runs = merged([(s >> 32, s & 0xFFFFFFFF) for s in found or ()])
                 if text is not None and (runs or digest is None):
                     edges = [0, *[e for r in runs for e in r], n]
                     text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
