@@ -149,6 +149,13 @@ class WordBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 

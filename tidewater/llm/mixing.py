@@ -25,10 +25,11 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows aimed at per bucket of a running sum.
 BUCKET_ROWS = 512
 EPOCHS = 2
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:

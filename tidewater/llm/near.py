@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
@@ -294,7 +294,7 @@ class _Linker:
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """ord, tie, id and class_id of every row (ord and tie stand for id and text: see ``keyed``)."""
+    """ord, tie, id and class_id of every row (ord and tie stand for id and text: see ``keys``)."""
     base = keyed(docs, id, text)
     sketches = written(base.mapInArrow(_sketch, "ord bigint, tie bigint, node binary, has boolean, signature binary, bands array<bigint>"), "near-sketches")
     links = _Linker(base, sketches, threshold).run()
@@ -308,6 +308,10 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
     return rows.join(least, "node").select("ord", "tie", F.when(F.col("ord") != none, F.col("ord")).alias(id), "class_id", "first")
 
 
+def keys(id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """ord (the id, null as the least number) and tie (a hash of the text)."""
+    return F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie")
+
+
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """ord (the id, null as the least number), tie (a hash of the text) and text."""
-    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.col(text).cast("string").alias("text"))
+    return docs.select(*keys(id, text), F.col(text).cast("string").alias("text"))

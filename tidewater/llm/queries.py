@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewater.llm import ann, bpe, langid, media, mixing, near, repeats, sharding, url_filter, warc
 from tidewater.llm.common import table
 
@@ -25,7 +26,7 @@ def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), bpe.public_vocabulary()))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,21 +59,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
 
 
-def _vocabulary() -> str:
-    """Path of the public vocabulary file, the same on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-VOCABULARY = _vocabulary()
 #: Shards of the registered query.
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_media_columns, op3_repeated_bytes, op4_bpe, op5_mix_sources, op6_near_duplicates, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
+    named = {f.__name__: f for f in (op1_ann, op2_media_columns, op3_repeated_bytes, op4_bpe, op5_mix_sources, op6_near_duplicates, op7_language_id, op8_shard_lookup, op9_warc, op10_url_filter)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.ORACLE, "op9_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op5_mix_sources": mixing.ORACLE, "op9_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
