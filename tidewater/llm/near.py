@@ -9,7 +9,7 @@ if its probability Jaccard, computed exactly from both texts, is at least the th
 the connected components of the links.
 
 Scale: texts with the same words are one node, so that groups of copies vanish before the bands. In a
-band's bucket all pairs are never listed: in each of ROUNDS rounds members are compared with one leader of
+band's bucket all pairs are never listed: in each round (see LEADERS) members are compared with a few leaders of
 the bucket, unless they are known to be of one class; the few that then still are outside the largest class of
 their bucket are compared with all its other members, whose signatures are dealt out in parts of
 PART. So no candidate pair is dropped, and pairs that must link nothing are not made. Pairs whose
@@ -28,9 +28,8 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
@@ -41,7 +40,7 @@ from tidewater.llm.repeats import _TABLE, _powers
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 26
 M = ROWS * BANDS
-LEAST, ROUNDS, PART = 0.66, 3, 2048
+LEAST, LEADERS, PART = 0.66, (1, 6), 2048
 #: Characters worked on at once.
 CHARS = 1 << 20
 _U = np.uint64
@@ -113,6 +112,11 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two weighted sets (sorted values, weights)."""
+    if a[1].max(initial=1) == 1 == b[1].max(initial=1):  # plain sets: their Jaccard similarity
+        every = np.concatenate([a[0], b[0]])
+        every.sort()
+        n = int((every[1:] == every[:-1]).sum())
+        return n / (len(every) - n) if len(every) else 0.0
     both, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
@@ -212,12 +216,11 @@ class _Linker:
         found = docs.select("text").mapInArrow(run, "node binary, words string")
         return written(found.dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "near-texts")
 
-    def verified(self, pairs: DataFrame, sure: bool = False) -> DataFrame:
-        """The pairs (a, b) that are linked; sure: their signatures are known to agree."""
-        if not sure:
-            s = self.signatures
-            pairs = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-            pairs = written(pairs.mapInArrow(_agree, "a binary, b binary"), "near-pairs")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked."""
+        s = self.signatures
+        pairs = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
+        pairs = written(pairs.mapInArrow(_agree, "a binary, b binary"), "near-pairs")
         t = self.texts
         pairs = pairs.join(t.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(t.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         return pairs.mapInArrow(_verify(self.threshold), "a binary, b binary")
@@ -245,12 +248,12 @@ class _Linker:
 
     def run(self) -> DataFrame | None:
         members = self.members
-        for k in range(ROUNDS):
+        for k, n in enumerate(LEADERS):
             members = written(self.open(members), "near-open")
             if members.isEmpty():
                 return self.links
-            leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node"), F.col("label"))).alias("leader")
-            leaders = members.groupBy("band").agg(leader).select("band", "leader.node", "leader.label").toDF("band", "b", "b_label")
+            drawn = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(k)), "node")
+            leaders = members.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= n).select("band", "node", "label").toDF("band", "b", "b_label")
             pairs = members.join(leaders, "band").where("label <> b_label").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
             self.add(self.verified(pairs))
             if k == 0:  # buckets of two nodes have no other pair
@@ -258,39 +261,61 @@ class _Linker:
             release(self.spark)
         members = written(self.open(members), "near-open")
         if not members.isEmpty():
-            self.add(self.verified(self._rest(members), sure=True))
+            self.add(self._rest(members))
         return self.links
 
     def _rest(self, members: DataFrame) -> DataFrame:
-        """Pairs of one bucket and different classes with agreeing signatures: those outside the largest class of the
-        bucket against all. A pair is made only in the first band that it shares."""
+        """Links of one bucket and different classes: those outside the largest class of the bucket against all. A pair is
+        looked at only in the first band that it shares, the likeliest first, and not at all once its two are known to
+        be of one class."""
         counts = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
         largest = counts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
         largest = largest.select("band", F.col("top.label").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("all") / PART)).cast("int").alias("parts"))
-        full = members.select("band", "node", "label").join(largest, "band").join(self.signatures, "node")
-        columns = ["band", "node", "label", "main", "signature"]
-        held = full.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(*columns, "part")
-        outside = full.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns, "part").toDF("o_band", "o_node", "o_label", "o_main", "o_signature", "o_part")
-
-        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple[bytes, bytes]] = []
-            if len(left) and len(right):
-                band = int(right["band"].iloc[0])
-                x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, M) for s in (left["o_signature"], right["signature"]))
-                bands = bands_of(y)
-                place = int(np.flatnonzero(bands[0] == band)[0])
-                mine = bands_of(x)
-                nodes, labels = right["node"].tolist(), np.array(right["label"].tolist(), object)
-                is_main = labels == right["main"].iloc[0]
-                for i, (node, label) in enumerate(zip(left["o_node"], left["o_label"], strict=True)):
-                    ok = ((x[i] == y).mean(axis=1) >= LEAST) & (labels != label)
-                    ok &= (mine[i] == bands).argmax(axis=1) == place
-                    # a pair of two that are outside stands here twice
-                    out += [(node, nodes[j]) if node < nodes[j] else (nodes[j], node) for j in np.flatnonzero(ok).tolist() if is_main[j] or node < nodes[j]]
-            return pd.DataFrame(out, columns=["a", "b"])
-
-        found = outside.groupBy("o_band", "o_part").cogroup(held.groupBy("band", "part")).applyInPandas(compare, "a binary, b binary")
-        return written(found, "near-rest")
+        full = members.select("band", "node", "label").join(largest, "band").join(self.signatures, "node").join(self.texts, "node")
+        columns = ["band", "node", "label", "main", "signature", "words"]
+        one = full.where("parts = 1").select(*columns, F.lit(0).alias("part"), F.lit(True).alias("held"), (F.col("label") != F.col("main")).alias("asks"))
+        many = full.where("parts > 1")
+        held = many.select(*columns, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("held"), F.lit(False).alias("asks"))
+        asking = many.where("label <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("held"), F.lit(True).alias("asks"))
+        rows = one.unionByName(held).unionByName(asking)
+        return rows.groupBy("band", "part").applyInArrow(_links_within(self.threshold), "a binary, b binary").distinct()
+
+
+def _links_within(threshold: float):
+    def run(rows: pa.Table) -> pa.Table:
+        nodes, held, asks = rows["node"].to_pylist(), rows["held"].to_numpy(), rows["asks"].to_numpy()
+        signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, M)
+        owner, value, weight = shingles(rows["words"].to_pylist())
+        cut = np.searchsorted(owner, np.arange(len(nodes) + 1))
+        bands = bands_of(signature)
+        place = int(np.flatnonzero(bands[0] == rows["band"][0].as_py())[0])
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(v, len(codes)) for v in rows["label"].to_pylist()])
+        parent = list(range(len(codes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        others = np.flatnonzero(held)
+        theirs, their_bands = signature[others], bands[others]
+        found: list[tuple[bytes, bytes]] = []
+        for i in np.flatnonzero(asks).tolist():
+            agree = (signature[i] == theirs).mean(axis=1)
+            ok = np.flatnonzero((agree >= LEAST) & (label[others] != label[i]) & ((bands[i] == their_bands).argmax(axis=1) == place))
+            for j in others[ok[np.argsort(-agree[ok], kind="stable")]].tolist():
+                x, y = root(label[i]), root(label[j])
+                if x == y:
+                    continue
+                a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
+                if similarity((value[a], weight[a]), (value[b], weight[b])) >= threshold - 1e-12:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    return run
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

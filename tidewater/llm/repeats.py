@@ -420,6 +420,8 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_
     ids = written(base.select("ord", "tie", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= LENGTH), "repeats-ids")
     size = ids.agg(F.sum("n_bytes")).first()[0] or 0
     first = ids.groupBy("digest").agg(F.min(F.struct("ord", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
+    first = written(first, "repeats-classes")
+    first = F.broadcast(first) if first.count() <= FEW_COPIES else first
     copies = written(ids.join(first, F.col("digest") == F.col("_d")).where(F.struct("ord", "tie") > F.col("first")).select("ord", "tie").distinct(), "repeats-copies")
     small = copies.count() <= FEW_COPIES
     marked = copies.withColumn("copy", F.lit(True))
