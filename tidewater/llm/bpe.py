@@ -29,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import bounded_batches
+
 #: White space of the library's pattern engine (Python's also has \x1c-\x1f).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Words with more parts use a heap; pieces and words kept in a worker's dictionaries; longest kept there.
-LONG, KEPT, KEPT_LENGTH = 64, 250_000, 64
+#: Words with more parts use a heap; pieces kept in a worker's dictionary and again in the one before; longest kept there.
+LONG, KEPT, KEPT_LENGTH = 64, 100_000, 64
 NONE = 1 << 60
 
 
@@ -66,7 +68,7 @@ class WordBpe:
         self.split = regex.compile(split.replace("\\s", SPACE))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -114,20 +116,17 @@ class WordBpe:
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         """Packed ids and joined tokens of text without white space and special tokens."""
+        if out := self.older.get(piece):
+            self.kept[piece] = out
+            return out
         plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         ids: list[int] = []
         for word in self._words(plain.lower()):
-            if (known := self.words.get(word)) is None:
-                known = self.merged(word.encode())
-                if len(word) <= KEPT_LENGTH:
-                    if len(self.words) >= KEPT:
-                        self.words.clear()
-                    self.words[word] = known
-            ids += known
+            ids += self.merged(word.encode())
         out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
         if len(piece) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
+            if len(self.kept) >= KEPT:  # what was used since the last time stays in older
+                self.older, self.kept = self.kept, {}
             self.kept[piece] = out
         return out
 
@@ -186,6 +185,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_i
 
     vocabulary: path of the file, there on every executor.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_batches(vocabulary), f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import bounded_batches
+
 #: First and last code point of the blocks of the scripts told apart; other letters are script 1.
 SCRIPTS = [
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F), ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x077F),
@@ -38,7 +40,7 @@ PER_LANG, MOST_LANGS, SCRIPT_SHARE = 4000, 128, 0.001
 #: Cost of a change of language between words, in nats; additive smoothing of the trigram counts.
 SWITCH, SMOOTH = 12.0, 0.5
 #: Characters worked on at once.
-CHARS = 1 << 21
+CHARS = 1 << 20
 
 
 def _script_table() -> np.ndarray:
@@ -201,6 +203,7 @@ def _count(langs: list[str]):
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS, text: str = "text", lang: str = "lang") -> Model:
     """Learns from the rows that have text and lang."""
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = known.groupBy("lang").count().sort(F.desc("count"), "lang").limit(most_langs).collect()
     if not counts:
@@ -224,6 +227,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS,
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", spans: bool = False) -> DataFrame:
     """keep, lang_pred, score, and with spans also spans (array of start, end, lang) of every row."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import bounded_batches
+
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Payload bytes per IDAT chunk, bytes per Arrow batch given back, zlib level.
@@ -197,6 +199,7 @@ def _encode_batches(width: int, level: int):
 def store(df: DataFrame, payload: str = "text", key: str = "doc_id", width: int = WIDTH, level: int = LEVEL) -> DataFrame:
     """key, n_bytes (of the payload without padding) and media (binary PNG) of every row.
     A string payload is taken as UTF-8."""
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(payload).cast("binary").alias("payload")).mapInArrow(_encode_batches(width, level), f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
 

@@ -33,16 +33,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
-from tidewater.llm.common import release, written
+from tidewater.llm.common import bounded_batches, release, written
 from tidewater.llm.components import components
 from tidewater.llm.repeats import _TABLE, _powers
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 26
 M = ROWS * BANDS
-LEAST, LEADERS, PART = 0.66, (1, 6), 2048
+LEAST, LEADERS, PART = 0.66, (1, 6), 1024
 #: Characters worked on at once.
-CHARS = 1 << 20
+CHARS = 1 << 19
 _U = np.uint64
 
 
@@ -51,7 +51,24 @@ def canonical(text: str | None) -> str:
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of canonical texts: text, hash and weight of each different shingle, sorted by text and hash."""
+    """Of canonical texts: text, hash and weight of each different shingle, sorted by text and hash. Runs of about
+    CHARS characters are worked on at once."""
+    parts, start = [], 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHARS):
+            size += len(texts[stop]) + 1
+            stop += 1
+        owner, value, weight = _shingles(texts[start:stop])
+        parts.append((owner + start, value, weight))
+        start = stop
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
+    owner, value, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return owner, value, weight
+
+
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer((" ".join(texts) + " ").encode(), np.uint8)
     lengths = np.array([len(t.encode()) if not t.isascii() else len(t) for t in texts], np.int64)
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -320,6 +337,7 @@ def _links_within(threshold: float):
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """ord, tie, id and class_id of every row (ord and tie stand for id and text: see ``keys``)."""
+    bounded_batches(docs.sparkSession)
     base = keyed(docs, id, text)
     sketches = written(base.mapInArrow(_sketch, "ord bigint, tie bigint, node binary, has boolean, signature binary, bands array<bigint>"), "near-sketches")
     links = _Linker(base, sketches, threshold).run()

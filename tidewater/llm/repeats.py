@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
-from tidewater.llm.common import release, written
+from tidewater.llm.common import bounded_batches, release, written
 from tidewater.llm.suffix import suffix_arrays
 
 LENGTH, SEED = 100, 48
@@ -415,6 +415,7 @@ RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
     """keep and RESULT of every row, and with_kept also kept (binary: the bytes that stay)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     own = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
     base = docs.select(*own, F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ids = written(base.select("ord", "tie", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= LENGTH), "repeats-ids")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import bounded_batches, written
 
 #: Packed bytes per archive, least payload that is stored once, zlib level.
 ARCHIVE, LEAST, LEVEL = 4 << 20, 1000, 6
@@ -217,6 +217,7 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per archive: content (binary), written to the shared folder and read back."""
+    bounded_batches(pages.sparkSession)
     packed = roles(pages, least).mapInArrow(_pack, "content binary")
     return written(packed, "warc", "uncompressed")
 
