@@ -113,9 +113,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     order = np.argsort(-n, kind="stable")
     first, n = bounds[:-1][order], n[order]
     labels = np.zeros(len(scores), np.uint8)
-    if not len(n) or not n[0]:
-        return labels
     k = scores.shape[1]
+    if not len(n) or not n[0] or not k:
+        return labels
     back = np.empty((len(scores), k), np.uint8)
     same = np.arange(k, dtype=np.uint8)
     active = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts with more than t words
