@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm import bpe, langid, mixing, near, repeats
 from tidewater.llm.common import table, written
@@ -41,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*COLUMNS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(kept: pd.Series) -> pd.Series:
     """Bytes as text; a character of which only a part is left goes."""
     return kept.map(lambda b: b.decode("utf-8", "ignore"))
