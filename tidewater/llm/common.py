@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (single-machine tests) a local folder is made and set.
+    Where it is unset, a single-machine session (as in tests) gets a folder of its own; on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        at = spark.sparkContext.getCheckpointDir()
-        found = at or f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
