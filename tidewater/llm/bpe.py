@@ -35,7 +35,9 @@ from tidewater.llm.common import bounded_batches
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with more parts use a heap; pieces kept in a worker's dictionary and again in the one before; longest kept there.
 LONG, KEPT, KEPT_LENGTH = 64, 100_000, 64
-NONE = 1 << 60
+#: Bits of an id; the rank of a pair that is never merged.
+BITS = 20
+MASK, NONE = (1 << BITS) - 1, 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -57,10 +59,11 @@ class WordBpe:
         suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        # a pair of ids, packed, gives its rank and, in the low bits, the id it becomes
+        self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.ranks[self.vocab[a] << BITS | self.vocab[b]] = rank << BITS | self.vocab[a + b]
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + suffix] for s in symbols]
@@ -72,43 +75,45 @@ class WordBpe:
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word."""
-        parts = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        inner = self.inner
+        parts = [inner[b] for b in word]
+        parts[-1] = self.last[word[-1]]
         if len(parts) > LONG:
             return self._merged_by_heap(parts)
         get = self.ranks.get
-        ranks = [get(pair, (NONE, 0))[0] for pair in zip(parts, parts[1:], strict=False)]
+        ranks = [get(a << BITS | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) != NONE:
             i = ranks.index(least)
-            parts[i] = get((parts[i], parts[i + 1]))[1]
+            parts[i] = new = least & MASK
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), (NONE, 0))[0]
+                ranks[i - 1] = get(parts[i - 1] << BITS | new, NONE)
             if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), (NONE, 0))[0]
+                ranks[i] = get(new << BITS | parts[i + 1], NONE)
         return parts
 
     def _merged_by_heap(self, parts: list[int]) -> list[int]:
         n, get = len(parts), self.ranks.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         alive = [True] * n
-        heap = [(get((parts[i], parts[i + 1]), (NONE, 0))[0], i, parts[i], parts[i + 1]) for i in range(n - 1)]
+        heap = [(get(parts[i] << BITS | parts[i + 1], NONE), i, parts[i], parts[i + 1]) for i in range(n - 1)]
         heap = [x for x in heap if x[0] != NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = get((a, b))[1], False, after[j]
+            parts[i], alive[j], after[i] = rank & MASK, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] >= 0 and (found := get((parts[left], parts[after[left]]))):
-                    heapq.heappush(heap, (found[0], left, parts[left], parts[after[left]]))
+                if left >= 0 and after[left] >= 0 and (found := get(parts[left] << BITS | parts[after[left]], NONE)) != NONE:
+                    heapq.heappush(heap, (found, left, parts[left], parts[after[left]]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
     def _words(self, piece: str) -> list[str]:
-        if piece.isascii() or not any(unicodedata.category(c) == "Cn" for c in piece):
+        if max(piece) < "\u0378" or not any(unicodedata.category(c) == "Cn" for c in piece):  # below, all are assigned
             return self.split.findall(piece)
         # the pattern module knows newer letters than the library; to that, unassigned is no letter
         known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in piece)
@@ -130,17 +135,20 @@ class WordBpe:
             self.kept[piece] = out
         return out
 
-    def _run(self, text: str) -> Iterator[tuple[bytes, str]]:
-        get = self.kept.get
-        pieces = text.split() if not re.search("[\x1c-\x1f]", text) else [p for p in re.split(f"[{SPACE}]+", text) if p]
-        return (get(p) or self._piece(p) for p in pieces)
+    def _run(self, text: str) -> list[tuple[bytes, str]]:
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        pieces = [p for p in re.split(f"[{SPACE}]+", text) if p] if odd else text.split()
+        get, piece = self.kept.get, self._piece
+        return [get(p) or piece(p) for p in pieces]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
         if self.cut and "<" in text and self.cut.search(text):
-            found = [(struct.pack("<I", self.special[s]), s) if s in self.special else (b"".join(x[0] for x in run), " ".join(x[1] for x in run)) for s in self.cut.split(text) if s in self.special or (run := [*self._run(s)])]
+            found: list[tuple[bytes, str]] = []
+            for part in self.cut.split(text):
+                found += [(struct.pack("<I", self.special[part]), part)] if part in self.special else self._run(part)
         else:
-            found = [*self._run(text)]
+            found = self._run(text)
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
     def decode(self, ids: list[int]) -> str:
