@@ -77,8 +77,8 @@ def test_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     docs = repeat_docs()
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS).withColumn("ord", F.lit(1)).withColumn("copy", F.lit("x")).repartition(3)
-    found = {r[0]: tuple(r[1:5]) + (bytes(r[5]) if r[5] is not None else b"",) for r in rows(repeats.remove(df, with_kept=True))}
-    assert found == brute.repeats(docs)
+    found = {r[0]: (*r[1:5], r[5]) for r in rows(repeats.remove(df, with_kept=True))}
+    assert found == {i: (*v[:4], v[4].decode("utf-8", "ignore")) for i, v in brute.repeats(docs).items()}
 
 
 def test_repeats_of_null_and_repeated_ids(spark):

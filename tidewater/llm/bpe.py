@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches
+from tidewater.llm.common import bounded_batches, lean
 
 #: White space of the library's pattern engine (Python's also has \x1c-\x1f).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with more parts use a heap; pieces kept in a worker's dictionary and again in the one before; longest kept there.
-LONG, KEPT, KEPT_LENGTH = 64, 100_000, 64
+LONG, KEPT, KEPT_LENGTH = 64, 40_000, 64
 #: Bits of an id; the rank of a pair that is never merged.
 BITS = 20
 MASK, NONE = (1 << BITS) - 1, 1 << 60
@@ -181,9 +181,10 @@ def _batches(path: str):
             for i, value in enumerate(texts):
                 rows.append(coder.encode(value.as_py() or ""))
                 size += len(rows[-1][0])
-                if size >= 4 << 20 or i == len(texts) - 1:
+                if size >= 1 << 20 or i == len(texts) - 1:
                     yield pa.record_batch([keys.slice(start, len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=names)
                     rows, size, start = [], 0, i + 1
+        coder.kept, coder.older = {}, {}
 
     return run
 
@@ -195,7 +196,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_i
     """
     bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_batches(vocabulary), f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_batches(vocabulary)), f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
 
 
 def digests(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

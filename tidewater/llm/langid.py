@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches
+from tidewater.llm.common import bounded_batches, lean
 
 #: First and last code point of the blocks of the scripts told apart; other letters are script 1.
 SCRIPTS = [
@@ -40,7 +40,7 @@ PER_LANG, MOST_LANGS, SCRIPT_SHARE = 4000, 128, 0.001
 #: Cost of a change of language between words, in nats; additive smoothing of the trigram counts.
 SWITCH, SMOOTH = 12.0, 0.5
 #: Characters worked on at once.
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 
 def _script_table() -> np.ndarray:
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS,
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_lang / n))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(F.col("lang").isin(langs)).where(drawn < F.try_element_at(share, F.col("lang")))
-    found = sample.mapInArrow(_count(langs), "lang int, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(lean(_count(langs)), "lang int, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     which, feature, n = (found.column(i).to_numpy() for i in range(3))
     grams, by_script = np.zeros((BUCKETS, len(langs))), np.zeros((256, len(langs)))
     gram = feature >= 0
@@ -242,4 +242,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 yield pa.record_batch(columns, names=[*keep, "lang_pred", "score", *["spans"] * spans])
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(lean(run), schema)

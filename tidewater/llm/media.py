@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches
+from tidewater.llm.common import bounded_batches, lean
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -201,7 +201,7 @@ def store(df: DataFrame, payload: str = "text", key: str = "doc_id", width: int
     A string payload is taken as UTF-8."""
     bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(payload).cast("binary").alias("payload")).mapInArrow(_encode_batches(width, level), f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(payload).cast("binary").alias("payload")).mapInArrow(lean(_encode_batches(width, level)), f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
 
 
 FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, phash binary, error string"
@@ -229,4 +229,4 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """keep and FEATURES, from the media column's bytes alone."""
     kept = ", ".join(f"{c} {stored.schema[c].dataType.simpleString()}" for c in keep)
-    return stored.select(*keep, "media").mapInArrow(_read_batches, f"{kept}, {FEATURES}")
+    return stored.select(*keep, "media").mapInArrow(lean(_read_batches), f"{kept}, {FEATURES}")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
-from tidewater.llm.common import bounded_batches, release, written
+from tidewater.llm.common import bounded_batches, lean, release, written
 from tidewater.llm.components import components
 from tidewater.llm.repeats import _TABLE, _powers
 
@@ -187,7 +187,7 @@ def _verify(threshold: float):
         def sets(node: bytes, text: str) -> tuple:
             if node not in known:
                 known[node] = shingles([text])[1:]
-                if len(known) > 256:
+                if len(known) > 64:
                     known.popitem(last=False)
             return known[node]
 
@@ -230,17 +230,17 @@ class _Linker:
                 for i in range(0, len(ok), 1000):
                     yield pa.record_batch([pa.array([nodes[j] for j in ok[i : i + 1000]], pa.binary()), pa.array([plain[j] for j in ok[i : i + 1000]], pa.string())], names=["node", "words"])
 
-        found = docs.select("text").mapInArrow(run, "node binary, words string")
+        found = docs.select("text").mapInArrow(lean(run), "node binary, words string")
         return written(found.dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "near-texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
         s = self.signatures
         pairs = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-        pairs = written(pairs.mapInArrow(_agree, "a binary, b binary"), "near-pairs")
+        pairs = written(pairs.mapInArrow(lean(_agree), "a binary, b binary"), "near-pairs")
         t = self.texts
         pairs = pairs.join(t.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(t.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        return pairs.mapInArrow(_verify(self.threshold), "a binary, b binary")
+        return pairs.mapInArrow(lean(_verify(self.threshold)), "a binary, b binary")
 
     def add(self, links: DataFrame) -> bool:
         """Adds links; False if there were none."""
@@ -339,7 +339,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
     """ord, tie, id and class_id of every row (ord and tie stand for id and text: see ``keys``)."""
     bounded_batches(docs.sparkSession)
     base = keyed(docs, id, text)
-    sketches = written(base.mapInArrow(_sketch, "ord bigint, tie bigint, node binary, has boolean, signature binary, bands array<bigint>"), "near-sketches")
+    sketches = written(base.mapInArrow(lean(_sketch), "ord bigint, tie bigint, node binary, has boolean, signature binary, bands array<bigint>"), "near-sketches")
     links = _Linker(base, sketches, threshold).run()
     rows = sketches.select("ord", "tie", "node")
     if links is not None:

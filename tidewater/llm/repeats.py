@@ -413,7 +413,8 @@ RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
-    """keep and RESULT of every row, and with_kept also kept (binary: the bytes that stay)."""
+    """keep and RESULT of every row, and with_kept also kept: the text that stays (a character of which only a part
+    stays is left out of it, but counts in the figures and the digest)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     own = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
@@ -452,21 +453,21 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_
             rows: list[tuple] = []
             for copy, text, n, digest, found in zip(*[batch.column(c).to_pylist() for c in ("copy", "text", "n_bytes", "digest", "spans")], strict=True):
                 if copy:
-                    rows.append((n, n, 1, digest, b""))
+                    rows.append((n, n, 1, digest, ""))
                     continue
                 runs = merged([(s >> 32, s & 0xFFFFFFFF) for s in found or ()])
                 if text is not None and (runs or digest is None):
                     edges = [0, *[e for r in runs for e in r], n]
                     text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     digest = hashlib.sha256(text).hexdigest()
-                rows.append((n, sum(b - a for a, b in runs), len(runs), digest, text))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                rows.append((n, sum(b - a for a, b in runs), len(runs), digest, text.decode("utf-8", "ignore") if with_kept else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[: 4 + with_kept])]
             yield pa.record_batch([*[batch.column(f"_k{i}") for i in range(len(keep))], *columns], names=[*[f"_k{i}" for i in range(len(keep))], *[x.split()[0] for x in RESULT.split(", ")], *["kept"] * with_kept])
 
     kinds = ", ".join(f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     slim = flagged.select(*[f"_k{i}" for i in range(len(keep))], "ord", "tie", "copy", "text").mapInArrow(trim, f"{kinds}, ord bigint, tie bigint, copy boolean, text binary, n_bytes bigint, digest string")
-    out = slim.join(spans, ["ord", "tie"], "left").mapInArrow(cut, f"{kinds}, {RESULT}" + ", kept binary" * with_kept)
+    out = slim.join(spans, ["ord", "tie"], "left").mapInArrow(cut, f"{kinds}, {RESULT}" + ", kept string" * with_kept)
     for i, c in enumerate(keep):
         out = out.withColumnRenamed(f"_k{i}", c)
     return out

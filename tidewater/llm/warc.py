@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, written
+from tidewater.llm.common import bounded_batches, lean, written
 
 #: Packed bytes per archive, least payload that is stored once, zlib level.
 ARCHIVE, LEAST, LEVEL = 4 << 20, 1000, 6
@@ -218,7 +218,7 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per archive: content (binary), written to the shared folder and read back."""
     bounded_batches(pages.sparkSession)
-    packed = roles(pages, least).mapInArrow(_pack, "content binary")
+    packed = roles(pages, least).mapInArrow(lean(_pack), "content binary")
     return written(packed, "warc", "uncompressed")
 
 
@@ -238,7 +238,7 @@ def read(archives: DataFrame, content: str = "content", payload: bool = False) -
                 found = salvage(value.as_py())[0] if value.is_valid else []
                 yield pa.record_batch([pa.array([r[i] for r in found], _KINDS[i]) for i in range(len(names))], names=names)
 
-    return archives.select(content).mapInArrow(run, PAGES + ", payload binary" * payload)
+    return archives.select(content).mapInArrow(lean(run), PAGES + ", payload binary" * payload)
 
 
 def gaps(archives: DataFrame, name: Column | str = "path", content: str = "content") -> DataFrame:
