@@ -6,10 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.llm import bpe, langid, mixing, near, repeats
 from tidewater.llm.common import table, written
@@ -42,16 +40,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*COLUMNS)
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(kept: pd.Series) -> pd.Series:
-    """Bytes as text; a character of which only a part is left goes."""
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bytes of passages that occur earlier go."""
     found = repeats.remove(docs, keep=("doc_id", "lang", "source"), with_kept=True)
-    return found.withColumn("text", _decoded("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
