@@ -28,6 +28,12 @@ def mixed(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of 16 bytes as two columns of integers."""
+    both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def bits_for(keys: int) -> int:
     bits = LEAST_BITS
     while bits < min(MOST_BITS, keys * BITS_A_KEY):
@@ -49,13 +55,17 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def build(keys: DataFrame, rows: int) -> np.ndarray:
-    """The bitmap over the (integer) columns of keys; rows: about how many there are."""
+    """The bitmap over the columns of keys (integers, or one of 16 bytes, which counts as two integers); rows: about how
+    many there are."""
     bits = bits_for(rows)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            hashes = mixed(*[c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if pa.types.is_binary(batch.schema.field(0).type):
+                hashes = mixed(*halves(batch.column(0).to_pylist()))
+            else:
+                hashes = mixed(*[c.to_numpy(zero_copy_only=False) for c in batch.columns])
             for at in _places(hashes, bits):
                 np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         parts = bitmap.reshape(-1, SEGMENT)

@@ -34,7 +34,7 @@ from tidewater.llm.common import bounded_batches, lean
 #: White space of the library's pattern engine (Python's also has \x1c-\x1f).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with more parts use a heap; pieces kept in a worker's dictionary and again in the one before; longest kept there.
-LONG, KEPT, KEPT_LENGTH = 64, 40_000, 64
+LONG, KEPT, KEPT_LENGTH = 64, 80_000, 64
 #: Bits of an id; the rank of a pair that is never merged.
 BITS = 20
 MASK, NONE = (1 << BITS) - 1, 1 << 60
@@ -124,10 +124,11 @@ class WordBpe:
         if out := self.older.get(piece):
             self.kept[piece] = out
             return out
-        plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        ids: list[int] = []
-        for word in self._words(plain.lower()):
-            ids += self.merged(word.encode())
+        if piece.isascii() and piece.isalpha():
+            ids = self.merged(piece.lower().encode())
+        else:
+            plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+            ids = [i for word in self._words(plain.lower()) for i in self.merged(word.encode())]
         out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
         if len(piece) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:  # what was used since the last time stays in older
@@ -184,7 +185,6 @@ def _batches(path: str):
                 if size >= 1 << 20 or i == len(texts) - 1:
                     yield pa.record_batch([keys.slice(start, len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=names)
                     rows, size, start = [], 0, i + 1
-        coder.kept, coder.older = {}, {}
 
     return run
 

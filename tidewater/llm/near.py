@@ -150,11 +150,6 @@ def _node(text: str, ord: int, tie: int) -> bytes:
     return hashlib.md5(text.encode() if text else f"\0{ord} {tie}".encode()).digest()
 
 
-def _halves(nodes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ord, tie, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -216,8 +211,7 @@ class _Linker:
         release(self.spark)
 
     def _texts(self, docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-        halves = wanted.mapInArrow(lambda it: (pa.record_batch([pa.array(h) for h in _halves(b.column(0).to_pylist())], names=["x", "y"]) for b in it if b.num_rows), "x bigint, y bigint")
-        known = self.spark.sparkContext.broadcast(bloom.build(halves, n))
+        known = self.spark.sparkContext.broadcast(bloom.build(wanted, n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,7 +220,7 @@ class _Linker:
                 if not plain:
                     continue
                 nodes = [_node(t, 0, 0) for t in plain]
-                ok = np.flatnonzero(bloom.holds(known.value, bloom.mixed(*_halves(nodes)))).tolist()
+                ok = np.flatnonzero(bloom.holds(known.value, bloom.mixed(*bloom.halves(nodes)))).tolist()
                 for i in range(0, len(ok), 1000):
                     yield pa.record_batch([pa.array([nodes[j] for j in ok[i : i + 1000]], pa.binary()), pa.array([plain[j] for j in ok[i : i + 1000]], pa.string())], names=["node", "words"])
 
