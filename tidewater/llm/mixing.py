@@ -6,7 +6,7 @@ is the global order of finish times, cut where the total budget is spent. The do
 gives the words that are left of the budget.
 
 Running sums are made in two levels: per bucket of the order, then within a bucket. So no task
-holds a whole source, and the number of buckets grows with the number of rows.
+holds a whole source; the number of buckets grows with the number of rows, up to MOST_BUCKETS.
 
 Defined results: null text counts no words and takes none; a null source is a source of its own,
 last in order; repeated rows are separate documents (identical ones that stand at the cut are cut
@@ -24,6 +24,8 @@ from tidewater.llm.common import written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows aimed at per bucket of a running sum.
 BUCKET_ROWS = 512
+#: Buckets at most: so many sums of a source (and of ranges of finish times) go through one window.
+MOST_BUCKETS = 1 << 16
 EPOCHS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,7 +71,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id"
     """keep, size, source_size, target and takes (array<long>: the words taken in each epoch) of every row."""
     sized = docs.select(*keep, F.col("source").alias("_source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))).alias("shuffled"))
     sized = written(sized, "mix-sizes")  # a few bytes a row; the texts are read once
-    buckets = max(1, sized.count() // BUCKET_ROWS)
+    buckets = min(MOST_BUCKETS, max(1, sized.count() // BUCKET_ROWS))
     u = F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.shiftright(u * buckets, 32))
     parts = sized.groupBy("_source", "bucket").agg(F.sum("size").alias("part"))
