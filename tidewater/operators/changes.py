@@ -19,11 +19,10 @@ def same(a: DataFrame, b: DataFrame, columns: list[str]):
 
 def added(state: DataFrame, rows: DataFrame, few: bool = False) -> DataFrame:
     """rows that are not in state yet, each once. few: rows is a handful (of literals), so it is broadcast and the
-    state is only scanned; else the state is shuffled once."""
+    state is only scanned. Else Catalyst broadcasts rows if they are small by its statistics (as the delta of a
+    transaction is), and shuffles both sides if not."""
     rows = rows.select(*state.columns).dropDuplicates()
-    if not few:
-        return rows.join(state, same(rows, state, state.columns), "left_anti")
-    there = state.join(F.broadcast(rows), same(state, rows, state.columns), "left_semi").distinct()
+    there = state.join(F.broadcast(rows) if few else rows, same(state, rows, state.columns), "left_semi").distinct()
     return rows.exceptAll(there)
 
 
