@@ -3,7 +3,7 @@
 Centroids come from balanced bisection of a bounded sample, so lists are about equally long. They are
 searched by best-first walks on an in-memory neighbour graph. A vector goes to its nearest list and is
 replicated to other lists whose centroid is nearly as near (within BOUNDARY) unless a chosen centroid
-lies between them. A query scans the lists whose centroid is at most PRUNE times as far as the
+lies about where theirs does (BETWEEN). A query scans the lists whose centroid is at most PRUNE times as far as the
 nearest one, and further ones until these hold enough vectors.
 
 Equal vectors are one entry of a list with their k + 1 smallest ids, which is all that any answer
@@ -34,7 +34,10 @@ from tidewater.llm.common import written
 
 SAMPLE, LIST, MOST_LISTS, PART = 32_768, 128, 4096, 4096
 #: Links of a centroid, breadth of a walk, most lists of a vector, nearness for replicas, and of probed lists.
-LINKS, BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 64, 6, 1.15, 1.45
+LINKS, BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 96, 5, 1.15, 1.45
+#: A centroid is left out for replicas only if a chosen one is nearer to it than this share of its distance to
+#: the vector; near 1 no replica is left in many dimensions, where centroids lie nearer to each other than to vectors.
+BETWEEN = 0.2
 #: Vectors that the probed lists hold at least together, as a multiple of k.
 ENOUGH = 40
 
@@ -127,14 +130,16 @@ class Index:
         return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
     def homes(self, x: np.ndarray) -> Iterator[list[int]]:
-        """The lists of each vector."""
-        found, dist = self.walk(x, min(16, BREADTH))
+        """The lists of each vector. Lists are only as good as these, so all centroids are looked at, as one product."""
+        far = _distances(x, self.centroids)
+        found = np.argsort(far, axis=1, kind="stable")[:, :16]
+        dist = np.take_along_axis(far, found, axis=1)
         for ids, d in zip(found.tolist(), dist.tolist(), strict=True):
             mine = [ids[0]]
             for c, far in zip(ids[1:], d[1:], strict=True):
                 if c < 0 or far > BOUNDARY * d[0] or len(mine) >= REPLICAS:
                     break
-                if all(((self.centroids[c] - self.centroids[o]) ** 2).sum() >= far * far for o in mine):
+                if all(((self.centroids[c] - self.centroids[o]) ** 2).sum() >= (BETWEEN * far) ** 2 for o in mine):
                     mine.append(c)
             yield mine
 
