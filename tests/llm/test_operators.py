@@ -503,3 +503,25 @@ def test_balanced_lists():
     assert len(centroids) == 8 and max(homes.values()) < 3 * 125
     nearest = np.argmin(ann._distances(points, centroids), axis=1)
     assert np.mean(index.walk(points)[0][:, 0] == nearest) > 0.99
+
+
+def test_probing_ends_by_the_ratio():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(4000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    index = ann.Index.over(ann.bisected(points, 400))
+    far = ann._distances(points[:20], index.centroids)
+    near = far <= ann.PRUNE * far.min(axis=1)[:, None]
+    assert near.sum(axis=1).min() > ann.BREADTH
+    for got, want in zip(index.probes(points[:20], np.full(400, 10), 400), near, strict=True):
+        assert set(np.flatnonzero(want)) <= {*got}
+
+
+def test_neighbours_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TURN", 7)
+    monkeypatch.setattr(ann, "PART", 16)
+    rng = np.random.default_rng(4)
+    vectors = {i: [float(x) for x in rng.normal(size=4)] for i in range(200)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 10 == 0).sort("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(q, v) for q in range(0, 200, 10) for v, _ in exact(vectors, q, 10)]

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids come from balanced bisection of a bounded sample, so lists are about equally long. They are
-searched by best-first walks on an in-memory neighbour graph. A vector goes to its nearest list and is
+searched by best-first walks on an in-memory neighbour graph, and all of them are looked at for a query
+that needs more lists than a walk finds (BREADTH). A vector goes to its nearest list and is
 replicated to other lists whose centroid is nearly as near (within BOUNDARY) unless a chosen centroid
 lies about where theirs does (BETWEEN). A query scans the lists whose centroid is at most PRUNE times as far as the
-nearest one, and further ones until these hold enough vectors.
+nearest one, and further ones until these hold enough vectors; their number has no other bound, so where all
+centroids are about equally far (unit vectors that point anywhere) a query scans nearly all lists.
 
 Equal vectors are one entry of a list with their k + 1 smallest ids, which is all that any answer
 can need; so a vector that a third of the rows share costs no more than another. A list that is
-still long is split into salted parts of about PART entries, each searched by a task of its own.
+still long is split into salted parts of about PART entries, each searched by a task of its own; of more
+than TURN queries, each such part is searched in several turns.
 
 Bounds: SAMPLE vectors and MOST_LISTS centroids at most are on the driver and broadcast, whatever the size
 of the table; every row is indexed.
@@ -25,14 +28,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import written
 
-SAMPLE, LIST, MOST_LISTS, PART = 32_768, 128, 4096, 4096
+SAMPLE, LIST, MOST_LISTS, PART, TURN = 32_768, 128, 4096, 4096, 1 << 16
 #: Links of a centroid, breadth of a walk, most lists of a vector, nearness for replicas, and of probed lists.
 LINKS, BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 96, 5, 1.15, 1.45
 #: A centroid is left out for replicas only if a chosen one is nearer to it than this share of its distance to
@@ -143,17 +145,23 @@ class Index:
                     mine.append(c)
             yield mine
 
-    def probes(self, x: np.ndarray, sizes: np.ndarray, enough: int) -> Iterator[list[int]]:
-        """The lists that each query scans."""
+    def probes(self, x: np.ndarray, sizes: np.ndarray, enough: int) -> list[np.ndarray]:
+        """The lists that each query scans, nearest first."""
         found, dist = self.walk(x)
-        for ids, d in zip(found.tolist(), dist.tolist(), strict=True):
-            held, mine = 0, []
-            for c, far in zip(ids, d, strict=True):
-                if c < 0 or (far > PRUNE * d[0] and held >= enough):
-                    break
-                mine.append(c)
-                held += int(sizes[c])
-            yield mine
+        out = self._scanned(found, dist, sizes, enough)
+        more = [i for i, lists in enumerate(out) if found.shape[1] == len(lists) < len(self.centroids)]
+        for i in range(0, len(more), 64):  # the walk ended before the ratio did
+            far = _distances(x[more[i : i + 64]], self.centroids)
+            order = np.argsort(far, axis=1, kind="stable")
+            for q, lists in zip(more[i : i + 64], self._scanned(order, np.take_along_axis(far, order, axis=1), sizes, enough), strict=True):
+                out[q] = lists
+        return out
+
+    @staticmethod
+    def _scanned(found: np.ndarray, dist: np.ndarray, sizes: np.ndarray, enough: int) -> list[np.ndarray]:
+        held = np.where(found < 0, 0, sizes[found])
+        take = (found >= 0) & ((dist <= PRUNE * dist[:, :1]) | (held.cumsum(axis=1) - held < enough))
+        return [lists[t] for lists, t in zip(found, take, strict=True)]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -181,6 +189,41 @@ def prepared(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> Da
     return same.select("vec_id", F.transform("embedding", lambda v: F.when(v == 0, F.lit(0)).otherwise(v)).cast(kind).alias("embedding")).dropDuplicates(["vec_id"])
 
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # rep of the query, vec_id, distance
+
+
+def _best(reps: np.ndarray, x: np.ndarray, m: np.ndarray, count: np.ndarray, ids: np.ndarray, k: int) -> Found:
+    """The k + 1 nearest for each row of x among the entries m; each entry has count of the ids."""
+    begin, square, out = np.cumsum(count) - count, (m * m).sum(axis=1), []
+    step = max(1, (4 << 20) // m.size)
+    for i in range(0, len(x), step):
+        q = x[i : i + step]
+        # a product tells which entries may be among the nearest; their distances come from differences
+        own = (q * q).sum(axis=1)
+        rough = own[:, None] - 2 * q @ m.T + square
+        limit = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (own + square.max()) if len(m) > k + 1 else np.full(len(q), np.inf)
+        row, entry = np.nonzero(~(rough > limit[:, None]))
+        far, times = np.sqrt(((q[row] - m[entry]) ** 2).sum(axis=1)), count[entry]
+        who = ids[np.arange(times.sum()) + np.repeat(begin[entry] - np.cumsum(times) + times, times)]
+        out.append(_merged([(reps[i + np.repeat(row, times)], who, np.repeat(far, times))], k))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _merged(found: list[Found], k: int) -> Found:
+    """The k + 1 nearest of each query; a vector found in several lists counts once."""
+    rep, who, far = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((who, far, rep))
+    rep, who, far = rep[order], who[order], far[order]
+    first = np.append(True, (rep[1:] != rep[:-1]) | (who[1:] != who[:-1]))[: len(rep)]
+    rep, who, far = rep[first], who[first], far[first]
+    best = np.arange(len(rep)) - np.searchsorted(rep, rep) <= k
+    return rep[best], who[best], far[best]
+
+
+def _answers(found: list[Found], k: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in _merged(found, k)], names=["rep", "vec_id", "score"])
+
+
 def search(df: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row where ``queries`` (a condition
     on vec_id) holds, without itself; score is the Euclidean distance in double precision."""
@@ -216,35 +259,60 @@ def search(df: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vect
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                chunk = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 256):
+                chunk = batch.slice(i, 256)
                 sizes, parts = parts_of.value
-                goes = [[(c, p) for c in lists for p in range(parts[c])] for lists in shared.value.probes(_matrix(chunk.column("embedding"), dim), sizes, ENOUGH * k)]
-                copies = chunk.take(pa.array(np.repeat(np.arange(len(goes)), [len(g) for g in goes])))
-                flat = [x for g in goes for x in g]
-                yield pa.record_batch([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), *copies.columns], names=["list", "part", *chunk.schema.names])
+                goes = shared.value.probes(_matrix(chunk.column("embedding"), dim), sizes, ENOUGH * k)
+                lists, of = np.concatenate(goes), np.repeat(np.arange(len(goes)), [len(g) for g in goes])
+                times = parts[lists]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                lists, of = np.repeat(lists, times), np.repeat(of, times)
+                for j in range(0, len(of), 1 << 14):
+                    copies = chunk.take(pa.array(of[j : j + (1 << 14)]))
+                    yield pa.record_batch([pa.array(lists[j : j + (1 << 14)], pa.int32()), pa.array(part[j : j + (1 << 14)], pa.int32()), *copies.columns], names=["list", "part", *chunk.schema.names])
 
     asked = rows.where(queries).join(vectors.select("rep", F.col("embedding").alias("_e")), F.col("embedding") == F.col("_e")).select(F.col("vec_id").alias("query_id"), "rep", "embedding")
     asked = written(asked, "ann-queries")
     sent = asked.groupBy("rep").agg(F.first("embedding").alias("embedding")).mapInArrow(probe, f"list int, part int, rep bigint, embedding {kind}")
+    turns = max(1, -(-asked.count() // TURN))
+    sent = sent.withColumn("turn", F.pmod(F.xxhash64("rep"), F.lit(turns)).cast("int"))
     part_count = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1) if parts.max() > 1 else F.lit(1)
     held = postings.withColumn("part", F.pmod(F.xxhash64("rep"), part_count).cast("int"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))) if turns > 1 else F.lit(0))
+    place = ["turn", "list", "part", "asks"]
+    both = held.withColumn("asks", F.lit(False)).select(*place, "rep", "embedding", "ids").unionByName(sent.withColumn("asks", F.lit(True)).withColumn("ids", F.lit(None).cast("array<bigint>")).select(*place, "rep", "embedding", "ids"))
 
-    def nearest(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(members) and len(asking):
-            m, q = np.array(members["embedding"].tolist(), np.float64), np.array(asking["embedding"].tolist(), np.float64)
-            ids = members["ids"].tolist()
-            step = max(1, (4 << 20) // m.size)
-            for i in range(0, len(q), step):
-                dist = np.sqrt(((q[i : i + step, None, :] - m[None, :, :]) ** 2).sum(axis=2))
-                for rep, d in zip(asking["rep"].iloc[i : i + step], dist, strict=True):
-                    limit = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                    best = sorted((d[j], v) for j in np.flatnonzero(d <= limit) for v in ids[j])[: k + 1]
-                    out += [(rep, v, far) for far, v in best]
-        return pd.DataFrame(out, columns=["rep", "vec_id", "score"]).astype({"rep": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = held.groupBy("list", "part").cogroup(sent.groupBy("list", "part")).applyInPandas(nearest, "rep bigint, vec_id bigint, score double")
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k + 1 nearest of each query among the lists of a task. A list's entries come before its queries."""
+        last, members, best, new = (-1, -1, -1), [], [], 0
+        for batch in batches:
+            turn, lists, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in place)
+            change = (np.diff(turn) != 0) | (np.diff(lists) != 0) | (np.diff(part) != 0) | (asks[1:] != asks[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                key = int(turn[a]), int(lists[a]), int(part[a])
+                if key != last:
+                    if key[0] != last[0] and best:
+                        yield _answers(best, k)
+                        best, new = [], 0
+                    last, members = key, []
+                run = batch.slice(a, b - a)
+                vectors, reps = _matrix(run.column("embedding"), dim), run.column("rep").to_numpy()
+                if not asks[a]:
+                    ids = run.column("ids")
+                    members.append((vectors, np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()))
+                elif members:
+                    members = [tuple(map(np.concatenate, zip(*members, strict=True)))]
+                    best.append(_best(reps, vectors, *members[0], k))
+                    new += len(best[-1][0])
+                    if new > 1 << 20:
+                        best, new = [_merged(best, k)], 0
+        if best:
+            yield _answers(best, k)
+
+    found = both.repartition("turn", "list", "part").sortWithinPartitions(*place).mapInArrow(nearest, "rep bigint, vec_id bigint, score double")
     by_rep = Window.partitionBy("rep").orderBy("score", "vec_id")
     top = found.dropDuplicates(["rep", "vec_id"]).withColumn("n", F.row_number().over(by_rep)).where(f"n <= {k + 1}").drop("n")
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
