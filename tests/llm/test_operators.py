@@ -422,6 +422,21 @@ def test_salvage(spark, packed):
     assert rows(warc.gaps(df)) and [r.page_id for r in warc.read(df).collect()] == [3]
 
 
+def test_salvage_inside_members():
+    plain = archive(5, packed=False)
+    bad = bytearray(plain[2])
+    bad[-12] ^= 0xFF
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    several = warc.member(b"".join([info, *plain[:2], bytes(bad), *plain[3:]]))
+    found, gaps = warc.salvage(several + warc.member(info) + warc.member(plain[2]))
+    assert [p[0] for p in found] == [0, 1, 3, 4, 2] and [(a, b) for a, b, _ in gaps] == [(0, len(several))]
+    assert [p[0] for p in warc.salvage(info + plain[0] + info + plain[1])[0]] == [0, 1] and not warc.salvage(info + plain[0] + info)[1]
+    for level in (0, 6):
+        cut = warc.member(b"".join([*plain[:4], random.Random(5).randbytes(900), plain[4]]), level)[:-300]
+        found, gaps = warc.salvage(b"xx" + cut)
+        assert [p[0] for p in found] == [0, 1, 2, 3] and len(gaps) == 2 and gaps[1][1:] == (len(cut) + 2, "cut member")
+
+
 # -- URLs
 
 

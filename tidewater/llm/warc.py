@@ -8,7 +8,10 @@ refer to it.
 Reader: walks an archive (members of gzip, or plain records). A record counts only if its version line,
 header block, lengths, closing line breaks and both digests are right. After a failed check it
 searches on from the next byte for a place where a valid member or version line starts, and logs the
-bytes in between as a quarantined gap with the reason of the failure.
+bytes in between as a quarantined gap with the reason of the failure. Within what a member holds, and what one cut off
+at the archive's end still gives (but for a record that ends just where it does), it searches on alike; a whole member of which a record failed is logged as
+one gap, though its other records count. A member that fails its own checksum gives nothing, since no digest
+covers the headers of its records. Valid records of other types than response and revisit are skipped without a gap.
 
 Defined results: a null payload counts as empty; null ids and URLs leave their header out and are
 read back as null; among equal payloads a null id is smaller than any other, and all rows that
@@ -104,11 +107,13 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def page_of(headers: dict[str, str], block: bytes) -> tuple[int | None, str | None, str, int, str, int | None, bytes | None]:
-    """page_id, url, record_type, payload_bytes, payload_digest (hex), refers_to, payload."""
+def page_of(headers: dict[str, str], block: bytes) -> tuple[int | None, str | None, str, int, str, int | None, bytes | None] | None:
+    """page_id, url, record_type, payload_bytes, payload_digest (hex), refers_to, payload; None for other types of record."""
     kind = headers.get("warc-type", "")
+    if not kind:
+        raise Damage("no record type")
     if kind not in ("response", "revisit"):
-        raise Damage(f"record of type {kind!r}")
+        return None
     payload = None
     stated = headers.get("warc-payload-digest", "")
     if kind == "response":
@@ -126,15 +131,23 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple[int | None, str | No
         raise Damage(f"bad header value: {e}") from None
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
+def _member_at(data: bytes) -> tuple[bytes, int | None]:
+    """What the member that data starts with holds, and its length; None if it is cut."""
     unpack = zlib.decompressobj(31)
     try:
-        out = unpack.decompress(memoryview(data)[at:])
+        out = unpack.decompress(data)
     except zlib.error as e:
         raise Damage(f"bad member: {e}") from None
-    if not unpack.eof:
-        raise Damage("cut member")
-    return out, len(data) - len(unpack.unused_data)
+    return out, len(data) - len(unpack.unused_data) if unpack.eof else None
+
+
+def _packed_length(data: bytes, size: int) -> int:
+    """How many bytes of a member give its first size bytes unpacked (up to 255 more)."""
+    unpack, at = zlib.decompressobj(31), 0
+    while size > 0 and at < len(data):
+        size -= len(unpack.decompress(data[at : at + 256]))
+        at += 256
+    return min(at, len(data))
 
 
 #: What may start a record: a gzip member, or a version line.
@@ -143,26 +156,48 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _WINDOW = 1 << 15
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[tuple], int]:
-    """The pages of the member or plain record at ``at``, and the place after it."""
+def _inside(data: bytes, cut: bool) -> tuple[list[tuple], int, str]:
+    """The pages of the valid records of a member's bytes, where the last of them ends, and the first failure.
+    In a cut member a record counts only if more was unpacked after it."""
+    pages: list[tuple] = []
+    at, stop, why = 0, 0, ""
+    while 0 <= at < len(data):
+        try:
+            headers, block, after = parse(data, at)
+            page = page_of(headers, block)
+            if cut and after == len(data):
+                raise Damage("cut member")
+        except Damage as e:
+            why = why or str(e)
+            at = data.find(b"WARC/1.", at + 1)
+            continue
+        pages += [page] if page else []
+        at = stop = after
+    return pages, stop, why
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[tuple], int, tuple[int, str] | None]:
+    """The pages of the member or plain record at ``at``, the place after it, and where a gap starts and why."""
     if data.startswith(b"\x1f\x8b", at):
         window = _WINDOW
         while True:
             piece = data[at : at + window]
-            try:
-                inside, stop = _member_at(piece, 0)
+            inside, length = _member_at(piece)
+            if length is not None or at + window >= len(data):
                 break
-            except Damage as e:
-                if str(e) != "cut member" or at + window >= len(data):
-                    raise
-                window *= 8
-        pages, place = [], 0
-        while place < len(inside):
-            headers, block, place = parse(inside, place)
-            pages.append(page_of(headers, block))
-        return pages, at + stop
+            window *= 8
+        pages, stop, why = _inside(inside, length is None)
+        if length is None:
+            if not stop:
+                raise Damage("cut member")
+            after = at + _packed_length(piece, stop)
+            return pages, after, (after if after < len(data) else at, "cut member")
+        if why and not stop:
+            raise Damage(why)
+        return pages, at + length, (at, why) if why else None
     headers, block, stop = parse(data, at)
-    return [page_of(headers, block)], stop
+    page = page_of(headers, block)
+    return [page] if page else [], stop, None
 
 
 def salvage(data: bytes) -> tuple[list[tuple], list[tuple[int, int, str]]]:
@@ -172,7 +207,7 @@ def salvage(data: bytes) -> tuple[list[tuple], list[tuple[int, int, str]]]:
     at, began, why = 0, None, ""
     while at < len(data):
         try:
-            found, after = _read_at(data, at)
+            found, after, lost = _read_at(data, at)
         except Damage as e:
             if began is None:
                 began, why = at, str(e)
@@ -182,6 +217,8 @@ def salvage(data: bytes) -> tuple[list[tuple], list[tuple[int, int, str]]]:
         if began is not None:
             gaps.append((began, at, why))
             began = None
+        if lost:
+            began, why = lost
         pages += found
         at = after
     if began is not None:
