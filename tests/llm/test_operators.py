@@ -440,6 +440,13 @@ def test_salvage_inside_members():
 # -- URLs
 
 
+def test_url_rules_of_many_lengths(spark):
+    rules = [("com", "/" + "a" * i, "block" if i == 4150 else "allow") for i in range(4200)]
+    df = spark.createDataFrame([(1, "http://x.com/" + "a" * 4150)], "page_id bigint, url string")
+    found = url_filter.judge(df, url_filter.rule_table(spark, rules)).first()
+    assert found.verdict == "block" and len(found.rule) == 4154
+
+
 def test_url_rules(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en", "block"), ("example.com", "/en/x", "allow"), ("www.example.com", "/", "block"), ("net", "", "block"), ("net", "", "allow")]
     hosts = ["com", "example.com", "EXAMPLE.com", "www.example.com", "a.b.www.example.com", "notexample.com", "x.net", "net", "example.org", "", "com.", "é.com", "example.com:80"]

@@ -58,14 +58,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str,
     rule wins; of two equally long, the one with the longer host. No rule: ``default``.
     """
     rules = _prepared(rules)
-    lengths = [r[0] for r in rules.select("path_len").distinct().sort("path_len").limit(4096).collect()]
+    lengths = [r[0] for r in rules.select("path_len").distinct().sort("path_len").collect()]
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     rules = F.broadcast(rules) if small else rules
     base = pages.select(*keep, F.col(url).alias("__url"))
     urls = base.where("__url is not null").select("__url").distinct().select("__url", host_of(F.col("__url")).alias("h"), path_of(F.col("__url")).alias("p"))
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("p"))
+    fitting = F.filter(F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("p"))
     expanded = (
         urls.where("h <> ''")
         .select("__url", "p", F.explode(suffixes).alias("suffix"))
