@@ -334,6 +334,16 @@ def test_language_fit_is_bounded(spark):
     assert langid.fit(docs, most_langs=1).langs == ["en"]
 
 
+def test_language_fit_draws_different_texts(spark):
+    data = [("en", "the house")] * 600 + [("en", f"cold water {i}") for i in range(300)] + [("de", "das haus")] * 300
+    m = langid.fit(spark.createDataFrame(data, "lang string, text string"), per_lang=50)
+    once = langid.fit(spark.createDataFrame([*dict.fromkeys(data)], "lang string, text string"), per_lang=50)
+    assert m.langs == ["de", "en"] and langid.label(["das haus"], m)[0][0] == "de"
+    assert (m.scores == once.scores).all() and m.candidates[:, 0].any()
+    fewest = langid.fit(spark.createDataFrame(data, "lang string, text string"), per_lang=0)
+    assert fewest.candidates.any(axis=0).all()
+
+
 # -- sharding
 
 

@@ -6,8 +6,8 @@ candidate for a script in which it has at least SCRIPT_SHARE of its letters. The
 the language whose spans hold most letters (the first by name of equals); its score is
 their share of all letters.
 
-The model is fitted on a sample of whole labelled texts: at most about PER_LANG documents of each of the
-MOST_LANGS commonest languages, chosen by a hash of the text. So it, and what is broadcast, has a
+The model is fitted on a sample of whole labelled texts: at most about PER_LANG different texts of each of the
+MOST_LANGS commonest languages, and at least one, chosen by a hash of the text; copies teach once. So it, and what is broadcast, has a
 bounded size at any input size; prediction covers all rows and their whole texts.
 
 Defined results: a null text or one without letters is ``und`` with score 0; letters only of scripts no
@@ -205,14 +205,15 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS,
     """Learns from the rows that have text and lang."""
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = known.groupBy("lang").count().sort(F.desc("count"), "lang").limit(most_langs).collect()
+    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    texts = known.groupBy("lang", F.xxhash64("text").alias("hash"), spot.alias("spot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("spot").alias("least")).sort(F.desc("n"), "lang").limit(most_langs).collect()
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((256, 0), bool), 0)
     sizes = dict(sorted((r[0], r[1]) for r in counts))
     langs = list(sizes)
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_lang / n))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(F.col("lang").isin(langs)).where(drawn < F.try_element_at(share, F.col("lang")))
+    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"] + 1, int(min(1.0, per_lang / r["texts"]) * (1 << 30))))])
+    sample = known.where(F.col("lang").isin(langs)).where(spot < F.try_element_at(limit, F.col("lang"))).dropDuplicates(["lang", "text"])
     found = sample.mapInArrow(lean(_count(langs)), "lang int, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     which, feature, n = (found.column(i).to_numpy() for i in range(3))
     grams, by_script = np.zeros((BUCKETS, len(langs))), np.zeros((256, len(langs)))
