@@ -221,6 +221,17 @@ def test_bpe_operator(spark, coders):
     assert bpe.encode(df.limit(0), bpe.public_vocabulary()).count() == 0
 
 
+def test_bpe_decodes_the_ids_column(spark, coders, monkeypatch):
+    want = [coders[0].ids(t) for t in ("Hello world", "", words(50, 2))]
+    df = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate([*want, struct.pack("<2I", 5, 1 << 30)])] + [(9, None)], "n int, packed binary")
+    found = {r.n: (r.packed, r.decoded) for r in bpe.decode(df, bpe.public_vocabulary(), keep=("n",), ids="packed").collect()}
+    assert [found[i] for i in range(3)] == [(v, coders[0].decode(struct.unpack(f"<{len(v) // 4}I", v))) for v in want]
+    assert found[3][1] == coders[0].tokens[5] and found[9] == (None, "")
+    # a fault in the ids shows in what is decoded
+    monkeypatch.setattr(bpe, "_encoded", lambda path: lambda batches: (b.set_column(1, "ids", [struct.pack("<I", 5)] * b.num_rows) for b in batches))
+    assert bpe.encode(spark.createDataFrame([(1, "Hello")], "doc_id int, text string"), bpe.public_vocabulary()).first().decoded == coders[0].tokens[5]
+
+
 # -- media
 
 

@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -70,8 +71,8 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(split.replace("\\s", SPACE))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -119,8 +120,8 @@ class WordBpe:
         known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in piece)
         return [piece[m.start() : m.end()] for m in self.split.finditer(known)]
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Packed ids and joined tokens of text without white space and special tokens."""
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of text without white space and special tokens."""
         if out := self.older.get(piece):
             self.kept[piece] = out
             return out
@@ -129,32 +130,44 @@ class WordBpe:
         else:
             plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
             ids = [i for word in self._words(plain.lower()) for i in self.merged(word.encode())]
-        out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:  # what was used since the last time stays in older
                 self.older, self.kept = self.kept, {}
             self.kept[piece] = out
         return out
 
-    def _run(self, text: str) -> list[tuple[bytes, str]]:
+    def _run(self, text: str) -> list[bytes]:
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
         pieces = [p for p in re.split(f"[{SPACE}]+", text) if p] if odd else text.split()
         get, piece = self.kept.get, self._piece
         return [get(p) or piece(p) for p in pieces]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
+    def ids(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if self.cut and "<" in text and self.cut.search(text):
-            found: list[tuple[bytes, str]] = []
+            found: list[bytes] = []
             for part in self.cut.split(text):
-                found += [(struct.pack("<I", self.special[part]), part)] if part in self.special else self._run(part)
+                found += [struct.pack("<I", self.special[part])] if part in self.special else self._run(part)
         else:
             found = self._run(text)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        return b"".join(found)
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """The ids, and the text decoded from them."""
+        ids = self.ids(text)
+        return ids, self.decode(unpacked(ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -173,30 +186,55 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def _batches(path: str):
+def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
-        names = ["key", "ids", "decoded"]
         for batch in batches:
-            keys, texts, rows, size, start = batch.column(0), batch.column(1), [], 0, 0
+            keys, texts, found, size, start = batch.column(0), batch.column(1), [], 0, 0
             for i, value in enumerate(texts):
-                rows.append(coder.encode(value.as_py() or ""))
-                size += len(rows[-1][0])
+                found.append(coder.ids(value.as_py() or ""))
+                size += len(found[-1])
                 if size >= 1 << 20 or i == len(texts) - 1:
-                    yield pa.record_batch([keys.slice(start, len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=names)
-                    rows, size, start = [], 0, i + 1
+                    yield pa.record_batch([keys.slice(start, len(found)), pa.array(found, pa.binary())], names=["key", "ids"])
+                    found, size, start = [], 0, i + 1
 
     return run
 
 
+def _decoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = loaded(path)
+        for batch in batches:
+            found, size, start = [], 0, 0
+            for i, value in enumerate(batch.column("ids")):
+                found.append(coder.decode(unpacked(value.as_py() or b"")))
+                size += len(found[-1])
+                if size >= 1 << 20 or i == batch.num_rows - 1:
+                    rows = batch.slice(start, len(found))
+                    yield pa.record_batch([*rows.columns, pa.array(found, pa.string())], names=[*rows.schema.names, "decoded"])
+                    found, size, start = [], 0, i + 1
+
+    return run
+
+
+def decode(df: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """keep, ids and decoded (string, the text of the column ids) of every row; null ids decode to ""."""
+    bounded_batches(df.sparkSession)
+    names = [f"k{i}" for i in range(len(keep))]
+    kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+    found = df.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], F.col(ids).alias("ids")).mapInArrow(lean(_decoded(vocabulary)), f"{kinds}, ids binary, decoded string")
+    return found.withColumnsRenamed(dict(zip(names, keep, strict=True)) | {"ids": ids})
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (binary, little-endian unsigned 32-bit) and decoded (string) of every row.
+    """key, ids (binary, little-endian unsigned 32-bit) and decoded (string, read from ids again) of every row.
 
     vocabulary: path of the file, there on every executor.
     """
     bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_batches(vocabulary)), f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
+    found = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_encoded(vocabulary)), f"key {kind}, ids binary")
+    return decode(found, vocabulary, keep=("key",)).withColumnRenamed("key", key)
 
 
 def digests(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
