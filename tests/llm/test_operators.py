@@ -64,6 +64,28 @@ def test_earlier_windows(monkeypatch, block):
     assert found == {(i, j) for i, j in spots if any(j == k and place[o] < place[i] and window(o, k) == window(i, j) for o, k in spots)}
 
 
+def test_contexts_without_a_common_window():
+    """Contexts of one anchor that share less than a window, alone and beside a group that does match."""
+    rng = random.Random(9)
+    vary = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    seed = vary(48)
+    apart = [vary(40) + seed + vary(40) for _ in range(2)]
+    place = [(i, 0, 0) for i in range(4)]
+    assert [*repeats.earlier([[0, 1]], place, [0, 1], [-40, -40], apart)] == []
+    same = vary(110)
+    data = [*apart, same + vary(9), same + vary(9)]
+    assert sorted(repeats.earlier([[0, 1], [2, 3]], place, [0, 1, 2, 3], [-40, -40, 0, 0], data)) == [(3, 0, 10)]
+
+
+def test_documents_that_share_less_than_a_window(spark):
+    rng = random.Random(10)
+    vary = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    seed = vary(60)
+    docs = [(i, vary(300) + seed + vary(300)) for i in range(4)]
+    found = {r[0]: r[1:5] for r in rows(repeats.remove(spark.createDataFrame(docs, "doc_id bigint, text string")))}
+    assert found == {i: v[:4] for i, v in brute.repeats(docs).items()} and not any(v[1] for v in found.values())
+
+
 def repeat_docs():
     a, b = words(60, 1), words(400, 2)
     return [

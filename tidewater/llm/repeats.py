@@ -318,6 +318,8 @@ def earlier(groups: list[list[int]], place: list[tuple[int, int, int]], context:
         np.minimum.at(least, of, rank[string])
         late = least[of] < rank[string]
         string, start = string[late], start[late]
+        if not len(string):
+            continue
         at = np.lexsort((start, string))
         string, start = string[at], start[at]
         cuts = np.flatnonzero((np.diff(string, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
