@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,20 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a single-machine session (as in tests) gets a folder of its own; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
+from tidewater.sources.files import remove, shared_dir
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -35,7 +21,26 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave. What was made of them must have been written itself."""
+    for t in tables:
+        if t is not None:
+            remove(t.sparkSession, t._written)
+
+
+#: Rows of a few numbers that are broadcast; beyond it a join shuffles.
+FEW = 500_000
+
+
+def few(keys: DataFrame, most: int = FEW) -> DataFrame:
+    """keys (a written table of short rows), broadcast if they are few. Told so before it is planned, a join does
+    not shuffle its other side, where one key may have a third of the rows."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def release(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (comparable, not null). a, b of every node that is not the least of its component, b being
-    the least. Written to the shared folder after every round."""
+    the least. Written to the shared folder after every round. The centre of a star is one key of joins whose other side has
+    one row a key, which AQE splits; minima are formed before the shuffle."""
     now = written(edges.where("a <> b").select("a", "b").distinct(), "components")
     seen = None
     while True:
@@ -32,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return now
         seen = state
-        now = written(_small(_large(now)), "components")
+        before, now = now, written(_small(_large(now)), "components")
+        discard(before)

@@ -10,11 +10,14 @@ the connected components of the links.
 
 Scale: texts with the same words are one node, so that groups of copies vanish before the bands. In a
 band's bucket all pairs are never listed: in each round (see LEADERS) members are compared with a few leaders of
-the bucket, unless they are known to be of one class; the few that then still are outside the largest class of
-their bucket are compared with all its other members, whose signatures are dealt out in parts of
-PART. So no candidate pair is dropped, and pairs that must link nothing are not made. Pairs whose
-signatures agree in less than LEAST of the registers (more than three standard deviations below 0.8) are
-not verified.
+the bucket, unless they are known to be of one class. The few that then still are outside the largest class of
+their bucket are compared with all its other members: signatures first, in blocks of at most PART by PART, and then the texts
+of only those members of a block that have a candidate in it. So no candidate pair is dropped, and pairs that must link nothing are not made.
+
+Pairs whose signatures agree in less than LEAST of the registers are not verified: at a similarity of 0.8 that is over
+seven standard deviations off (a chance below 1e-11, where the bands miss 1e-6). With ``least`` 0 every pair that shares a band is verified.
+
+Long texts: shingles are made from parts of CHARS characters, and words longer than LONGEST stand as their digest.
 
 Defined results: a null or empty text, or one of white space only, is a class of its own; rows that agree in id and
 text are in one class; class_id is the least id of a class (null if it has none); an empty table gives an
@@ -33,21 +36,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
-from tidewater.llm.common import bounded_batches, lean, release, written
+from tidewater.llm.common import bounded_batches, discard, few, lean, release, written
 from tidewater.llm.components import components
-from tidewater.llm.repeats import _TABLE, _powers
+from tidewater.llm.rolling import Sums
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 26
 M = ROWS * BANDS
-LEAST, LEADERS, PART = 0.66, (1, 6), 1024
-#: Characters worked on at once.
-CHARS = 1 << 19
+LEAST, LEADERS, PART = 0.5, (1, 6), 2048
+#: Characters, and shingles, worked on at once; characters of a word.
+CHARS, SHINGLES, LONGEST = 1 << 19, 1 << 20, 4096
 _U = np.uint64
 
 
 def canonical(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    words = (text or "").lower().split()
+    if text and len(text) > LONGEST and max(map(len, words), default=0) > LONGEST:
+        words = [w if len(w) <= LONGEST else hashlib.sha256(w.encode()).hexdigest() for w in words]
+    return " ".join(words)
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +65,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHARS):
             size += len(texts[stop]) + 1
             stop += 1
-        owner, value, weight = _shingles(texts[start:stop])
+        owner, value, weight = _shingles(texts[start:stop]) if stop > start + 1 or len(texts[start]) <= CHARS else _long(texts[start])
         parts.append((owner + start, value, weight))
         start = stop
     if not parts:
@@ -68,13 +74,32 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, value, weight
 
 
+def _long(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of one text from parts of it, each with the first words of the next."""
+    values, weights, start = [], [], 0
+    while True:
+        cut = text.find(" ", start + CHARS)
+        end = cut
+        for _ in range(WORDS - 1):
+            end = text.find(" ", end + 1) if end >= 0 else end
+        part = _shingles([text[start:end] if end >= 0 else text[start:]])
+        values.append(part[1])
+        weights.append(part[2])
+        if end < 0:
+            break
+        start = cut + 1
+    value, weight = np.concatenate(values), np.concatenate(weights)
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    new = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    return np.zeros(len(new), np.int64), value[new], np.add.reduceat(weight[order], new)
+
+
 def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer((" ".join(texts) + " ").encode(), np.uint8)
     lengths = np.array([len(t.encode()) if not t.isascii() else len(t) for t in texts], np.int64)
     begin = np.cumsum(lengths + 1) - lengths - 1
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    sums = Sums(data)
     blank = np.flatnonzero(data == 32)  # ends of words, and of empty texts
     if not lengths.all():
         blank = np.setdiff1d(blank, begin[lengths == 0], assume_unique=True)
@@ -91,7 +116,7 @@ def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
     last = np.minimum(at + WORDS - 1, first[owner] + words[owner] - 1)
     begin_at, stop_at = start[at], blank[last]
-    value = (sums[stop_at] - sums[begin_at]) * down[begin_at]
+    value = sums.part(begin_at, stop_at)
     value ^= (stop_at - begin_at).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
     value = bloom.mixed(value.view(np.int64))
     order = np.lexsort((value, owner))
@@ -104,6 +129,13 @@ def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts:
     """(texts, m) uint32: ProbMinHash registers; texts without shingles have zeros."""
     best = np.full(texts * m, np.inf)
     kept = np.zeros(texts * m, np.uint64)
+    for i in range(0, len(owner), SHINGLES):
+        _race(owner[i : i + SHINGLES], value[i : i + SHINGLES], weight[i : i + SHINGLES], best, kept, m)
+    return (kept >> _U(32)).astype(np.uint32).reshape(texts, m)
+
+
+def _race(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, best: np.ndarray, kept: np.ndarray, m: int) -> None:
+    """Runs the processes of some shingles against the registers' earliest times so far."""
     time = np.zeros(len(owner))
     round_ = 0
     while len(owner):
@@ -114,10 +146,9 @@ def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts:
         np.minimum.at(best, at, time)
         won = best[at] == time
         kept[at[won]] = value[won]
-        latest = best.reshape(texts, m).max(axis=1)
+        latest = best.reshape(-1, m).max(axis=1)
         live = time < latest[owner]
         owner, value, weight, time = owner[live], value[live], weight[live], time[live]
-    return (kept >> _U(32)).astype(np.uint32).reshape(texts, m)
 
 
 def bands_of(signature: np.ndarray) -> np.ndarray:
@@ -167,12 +198,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in LEAST of the registers."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, M) for c in ("x", "y"))
-        ok = pa.array((x == y).mean(axis=1) >= LEAST)
-        yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+def _agree(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose signatures agree in least of the registers."""
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, M) for c in ("x", "y"))
+            ok = pa.array((x == y).mean(axis=1) >= least)
+            yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return run
 
 
 def _verify(threshold: float):
@@ -196,17 +230,20 @@ def _verify(threshold: float):
 class _Linker:
     """Candidate nodes with signatures and texts, and the links found so far."""
 
-    def __init__(self, docs: DataFrame, sketches: DataFrame, threshold: float) -> None:
+    def __init__(self, docs: DataFrame, sketches: DataFrame, threshold: float, least: float) -> None:
         self.spark = docs.sparkSession
-        self.threshold = threshold
+        self.threshold, self.least = threshold, least
         nodes = sketches.where("has").select("node", "bands").dropDuplicates(["node"])
         each = nodes.select("node", F.explode("bands").alias("band"))
         shared = each.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("band", "size")
-        self.members = written(each.join(shared, "band"), "near-members")
-        wanted = self.members.select("node").distinct()
+        shared = written(shared, "near-buckets")
+        self.members = written(each.join(few(shared), "band"), "near-members")
+        discard(shared)
+        wanted = written(self.members.select("node").distinct(), "near-wanted")
         n = wanted.count()
         self.signatures = written(sketches.join(wanted, "node", "left_semi").select("node", "signature").dropDuplicates(["node"]), "near-signatures")
         self.texts = self._texts(docs, wanted, n)
+        discard(wanted)
         self.links = None
         release(self.spark)
 
@@ -231,18 +268,20 @@ class _Linker:
         """The pairs (a, b) that are linked."""
         s = self.signatures
         pairs = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-        pairs = written(pairs.mapInArrow(lean(_agree), "a binary, b binary"), "near-pairs")
+        pairs = written(pairs.mapInArrow(lean(_agree(self.least)), "a binary, b binary"), "near-pairs")
         t = self.texts
-        pairs = pairs.join(t.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(t.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        return pairs.mapInArrow(lean(_verify(self.threshold)), "a binary, b binary")
-
-    def add(self, links: DataFrame) -> bool:
-        """Adds links; False if there were none."""
-        links = written(links, "near-links")
-        if links.isEmpty():
-            return False
-        self.links = components(links if self.links is None else links.unionByName(self.links))
-        return True
+        found = pairs.join(t.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(t.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+        links = written(found.mapInArrow(lean(_verify(self.threshold)), "a binary, b binary"), "near-links")
+        discard(pairs)
+        return links
+
+    def add(self, links: DataFrame) -> None:
+        """Adds links (a written table)."""
+        if not links.isEmpty():
+            before = self.links
+            self.links = components(links if before is None else links.unionByName(before))
+            discard(before)
+        discard(links)
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """members with label: the least node of the node's class so far."""
@@ -252,71 +291,111 @@ class _Linker:
         return members.join(found, "node", "left").withColumn("label", F.coalesce("_label", "node")).drop("_label")
 
     def open(self, members: DataFrame) -> DataFrame:
-        """Members, with labels, of the buckets that hold several classes."""
+        """Members, with labels, of the buckets that hold several classes. Written."""
         members = self.labelled(members.drop("label"))
         several = members.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("band")
-        return members.join(several, "band", "left_semi")
+        several = written(several, "near-several")
+        out = written(members.join(few(several), "band", "left_semi"), "near-open")
+        discard(several)
+        return out
 
     def run(self) -> DataFrame | None:
+        """a, b of every node that is not the least of its class, or None; written."""
         members = self.members
-        for k, n in enumerate(LEADERS):
-            members = written(self.open(members), "near-open")
+        for k, n in enumerate((*LEADERS, None)):
+            before, members = members, self.open(members)
+            discard(before)
             if members.isEmpty():
-                return self.links
-            drawn = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(k)), "node")
-            leaders = members.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= n).select("band", "node", "label").toDF("band", "b", "b_label")
-            pairs = members.join(leaders, "band").where("label <> b_label").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-            self.add(self.verified(pairs))
-            if k == 0:  # buckets of two nodes have no other pair
-                members = members.where("size > 2")
+                break
+            self.add(self._led(members, k, n) if n else self._rest(members))
             release(self.spark)
-        members = written(self.open(members), "near-open")
-        if not members.isEmpty():
-            self.add(self._rest(members))
+            if k == 0 and n:  # buckets of two nodes have no other pair
+                before, members = members, written(members.where("size > 2"), "near-open")
+                discard(before)
+        discard(members, self.signatures, self.texts)
         return self.links
 
+    def _led(self, members: DataFrame, k: int, n: int) -> DataFrame:
+        """Links of members with n leaders of their bucket."""
+        drawn = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(k)), "node")
+        leaders = members.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= n).select("band", "node", "label").toDF("band", "b", "b_label")
+        leaders = written(leaders, "near-leaders")
+        pairs = members.join(few(leaders), "band").where("label <> b_label").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        links = self.verified(pairs)
+        discard(leaders)
+        return links
+
     def _rest(self, members: DataFrame) -> DataFrame:
         """Links of one bucket and different classes: those outside the largest class of the bucket against all. A pair is
         looked at only in the first band that it shares, the likeliest first, and not at all once its two are known to
-        be of one class."""
+        be of one class. The members of a bucket are dealt into parts, and those that ask into turns, so that a block holds
+        at most about PART of each."""
         counts = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = counts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-        largest = largest.select("band", F.col("top.label").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("all") / PART)).cast("int").alias("parts"))
-        full = members.select("band", "node", "label").join(largest, "band").join(self.signatures, "node").join(self.texts, "node")
-        columns = ["band", "node", "label", "main", "signature", "words"]
-        one = full.where("parts = 1").select(*columns, F.lit(0).alias("part"), F.lit(True).alias("held"), (F.col("label") != F.col("main")).alias("asks"))
-        many = full.where("parts > 1")
-        held = many.select(*columns, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("held"), F.lit(False).alias("asks"))
-        asking = many.where("label <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("held"), F.lit(True).alias("asks"))
+        sizes = counts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+        parts = lambda n: F.greatest(F.lit(1), F.ceil(n / PART)).cast("int")
+        sizes = written(sizes.select("band", F.col("top.label").alias("main"), parts(F.col("all")).alias("parts"), parts(F.col("all") - F.col("top.n")).alias("turns")), "near-sizes")
+        full = members.select("band", "node", "label").join(few(sizes), "band").join(self.signatures, "node").withColumn("asks", F.col("label") != F.col("main"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        columns, alone = ["band", "node", "label", "signature"], (F.col("parts") == 1) & (F.col("turns") == 1)
+        one = full.where(alone).select(*columns, F.lit(0).alias("part"), F.lit(0).alias("turn"), F.lit(True).alias("held"), "asks")
+        held = full.where(~alone).select(*columns, mine("parts", 0).alias("part"), each("turns").alias("turn"), F.lit(True).alias("held"), F.lit(False).alias("asks"))
+        asking = full.where(~alone).where("asks").select(*columns, each("parts").alias("part"), mine("turns", 1).alias("turn"), F.lit(False).alias("held"), F.lit(True).alias("asks"))
         rows = one.unionByName(held).unionByName(asking)
-        return rows.groupBy("band", "part").applyInArrow(_links_within(self.threshold), "a binary, b binary").distinct()
+        block = ["band", "part", "turn"]
+        kinds = "band bigint, node binary, label binary, signature binary, part int, turn int, held boolean, asks boolean"
+        close = written(rows.groupBy(*block).applyInArrow(_close_within(self.least), kinds), "near-close")
+        links = written(close.join(self.texts, "node").groupBy(*block).applyInArrow(_links_within(self.threshold, self.least), "a binary, b binary").distinct(), "near-links")
+        discard(sizes, close)
+        return links
+
+
+def _candidates(rows: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row that asks the rows held that may be linked with it, the likeliest first."""
+    held, asks = rows["held"].to_numpy(), rows["asks"].to_numpy()
+    signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, M)
+    bands = bands_of(signature)
+    place = int(np.flatnonzero(bands[0] == rows["band"][0].as_py())[0])
+    codes: dict[bytes, int] = {}
+    label = np.array([codes.setdefault(v, len(codes)) for v in rows["label"].to_pylist()])
+    others = np.flatnonzero(held)
+    theirs, their_bands = signature[others], bands[others]
+    for i in np.flatnonzero(asks).tolist():
+        agree = (signature[i] == theirs).mean(axis=1)
+        ok = np.flatnonzero((agree >= least) & (label[others] != label[i]))
+        ok = ok[(bands[i] == their_bands[ok]).argmax(axis=1) == place]
+        yield i, others[ok[np.argsort(-agree[ok], kind="stable")]]
+
+
+def _close_within(least: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """The rows of a block that are in some candidate pair of it."""
+        keep = np.zeros(len(rows), bool)
+        for i, found in _candidates(rows, least):
+            if len(found):
+                keep[i] = True
+                keep[found] = True
+        return rows.select(["band", "node", "label", "signature", "part", "turn", "held", "asks"]).filter(pa.array(keep))
+
+    return run
 
 
-def _links_within(threshold: float):
+def _links_within(threshold: float, least: float):
     def run(rows: pa.Table) -> pa.Table:
-        nodes, held, asks = rows["node"].to_pylist(), rows["held"].to_numpy(), rows["asks"].to_numpy()
-        signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, M)
+        nodes = rows["node"].to_pylist()
         owner, value, weight = shingles(rows["words"].to_pylist())
         cut = np.searchsorted(owner, np.arange(len(nodes) + 1))
-        bands = bands_of(signature)
-        place = int(np.flatnonzero(bands[0] == rows["band"][0].as_py())[0])
-        codes: dict[bytes, int] = {}
-        label = np.array([codes.setdefault(v, len(codes)) for v in rows["label"].to_pylist()])
-        parent = list(range(len(codes)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
             return x
 
-        others = np.flatnonzero(held)
-        theirs, their_bands = signature[others], bands[others]
+        label = rows["label"].to_pylist()
         found: list[tuple[bytes, bytes]] = []
-        for i in np.flatnonzero(asks).tolist():
-            agree = (signature[i] == theirs).mean(axis=1)
-            ok = np.flatnonzero((agree >= LEAST) & (label[others] != label[i]) & ((bands[i] == their_bands).argmax(axis=1) == place))
-            for j in others[ok[np.argsort(-agree[ok], kind="stable")]].tolist():
+        for i, near in _candidates(rows, least):
+            for j in near.tolist():
                 x, y = root(label[i]), root(label[j])
                 if x == y:
                     continue
@@ -329,18 +408,20 @@ def _links_within(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """ord, tie, id and class_id of every row (ord and tie stand for id and text: see ``keys``)."""
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: float = LEAST) -> DataFrame:
+    """ord, tie, id and class_id of every row (ord and tie stand for id and text: see ``keys``). least: share of
+    registers in which pairs must agree to be verified; 0 verifies all that share a band."""
     bounded_batches(docs.sparkSession)
     base = keyed(docs, id, text)
     sketches = written(base.mapInArrow(lean(_sketch), "ord bigint, tie bigint, node binary, has boolean, signature binary, bands array<bigint>"), "near-sketches")
-    links = _Linker(base, sketches, threshold).run()
+    links = _Linker(base, sketches, threshold, least).run()
     rows = sketches.select("ord", "tie", "node")
     if links is not None:
         found = links.select(F.col("a").alias("node"), F.col("b").alias("_label"))
         rows = rows.join(found, "node", "left").select("ord", "tie", F.coalesce("_label", "node").alias("node"))
     none = F.lit(-(1 << 63))
     rows = written(rows, "near-rows")
+    discard(sketches, links)
     least = rows.groupBy("node").agg(F.min(F.when(F.col("ord") != none, F.col("ord"))).alias("class_id"), F.min(F.struct("ord", "tie")).alias("first"))
     return rows.join(least, "node").select("ord", "tie", F.when(F.col("ord") != none, F.col("ord")).alias(id), "class_id", "first")
 

@@ -13,8 +13,11 @@ Every occurrence later than that place gives an interval to remove.
 
 Scale: nothing is gathered by document group. Contexts are pre-aggregated, so that copies cost one row
 each; anchors with more than HOT contexts are dealt out by the bytes that a few neighbouring
-windows share; suffix arrays have at most about BLOCK symbols each. Exact copies are told by their
-digest first. Texts are moved only if they lose something. Filters that spare shuffles have a bounded size.
+windows share, and where more than CROWD contexts share even these (one common line in ever different
+surroundings), window by window: there equal windows are one key, whose earliest place is an aggregate formed before
+the shuffle, and no task holds a key's contexts. Suffix arrays have at most about BLOCK symbols each. Exact copies are told by their
+digest first. Long texts are worked on in pieces of PIECE bytes. Texts are moved only if they lose something. Filters that spare
+shuffles have a bounded size.
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; an exact copy
 of an earlier text of at least LENGTH bytes goes whole; empty tables give empty results; only the columns
@@ -32,45 +35,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bloom
-from tidewater.llm.common import bounded_batches, release, written
+from tidewater.llm.common import bounded_batches, discard, few, release, written
+from tidewater.llm.rolling import Sums
 from tidewater.llm.suffix import suffix_arrays
 
 LENGTH, SEED = 100, 48
 SPAN = LENGTH - SEED + 1
-#: Contexts of an anchor beyond which it is dealt out; windows of a cell then; symbols of a suffix array;
-#: symbols worked on at once.
-HOT, CELL, BLOCK, BATCH = 512, 8, 4096, 1 << 18
-#: Copies whose ids are broadcast; beyond it that join shuffles. Text bytes per partition of the anchors.
-FEW_COPIES, PARTITION = 500_000, 64 << 20
+#: Contexts of an anchor beyond which it is dealt out; windows of a cell then; contexts of a cell's key beyond which
+#: that is dealt out; symbols of a suffix array; symbols worked on at once.
+HOT, CELL, CROWD, BLOCK, BATCH = 512, 8, 512, 4096, 1 << 18
+#: Text bytes per partition of the anchors; bytes of a text worked on at once.
+PARTITION, PIECE = 64 << 20, 1 << 20
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_TABLE = bloom.mixed(np.arange(256))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Of the base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) <= n:
-        size = max(1 << 16, 2 * n)
-        for i, factor in enumerate((_BASE, _U(pow(int(_BASE), -1, 1 << 64)))):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS
 
 
 class Anchors:
-    """Anchors of one text (at least LENGTH bytes): place at, windows [at + low, at + high], hashes of
-    gram and context."""
+    """Anchors of a text (at least LENGTH bytes), or of a piece of one: place at, windows [at + low, at + high], hashes of
+    gram and context. base: place of the piece in its text."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, base: int = 0) -> None:
+        self.base = base
+        self.sums = Sums(data)
         n = len(data)
-        up, down = _powers(n + 1)
-        self.down = down
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[:n], out=self.sums[1:])
-        gram = (self.sums[SEED:] - self.sums[:-SEED]) * down[: n - SEED + 1]
+        gram = self.sums.part(np.arange(n - SEED + 1), np.arange(SEED, n + 1))
         gram ^= gram >> _U(29)
         gram *= _U(0xBF58476D1CE4E5B9)
         gram ^= gram >> _U(32)
@@ -84,6 +72,7 @@ class Anchors:
             least = np.minimum(least[:-rest], least[rest:])
         place = (least & _U(0xFFFFFFFF)).astype(np.int64)  # of each window's anchor; never falls
         begin = np.flatnonzero(np.diff(place, prepend=-1))
+        self.last = int(begin[-1])  # window at which the last run of windows of one anchor starts
         self.at = place[begin]
         self.low = begin - self.at
         self.high = np.append(begin[1:], len(place)) - 1 - self.at
@@ -93,7 +82,24 @@ class Anchors:
         self.context = ((context ^ (shape * _U(0xD6E8FEB86659FD93))) * _U(0x94D049BB133111EB)).view(np.int64)
 
     def hashed(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
+        return self.sums.part(start, stop)
+
+    def but_last(self) -> Anchors:
+        """Without the last run, which goes on in the next piece."""
+        self.at, self.low, self.high, self.gram, self.context = (x[:-1] for x in (self.at, self.low, self.high, self.gram, self.context))
+        return self
+
+
+def anchors(data: np.ndarray) -> Iterator[Anchors]:
+    """The anchors of a text, piece by piece. A piece starts where a run of windows of one anchor starts, so they are the
+    same as those of the whole."""
+    start = 0
+    while len(data) - start > PIECE + 2 * LENGTH:
+        found = Anchors(data[start : start + PIECE + LENGTH], start)
+        begin = found.last
+        yield found.but_last()
+        start += begin
+    yield Anchors(data[start:], start)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -105,7 +111,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes,
 
 def _spots(a: Anchors, pick: np.ndarray) -> np.ndarray:
     """Place and window range in one number that sorts by place."""
-    return (a.at[pick] << 16) + ((a.low[pick] + 128) << 8) + a.high[pick] + 128
+    return (a.at[pick] + a.base << 16) + ((a.low[pick] + 128) << 8) + a.high[pick] + 128
 
 
 def _repeated(texts: DataFrame, partitions: int) -> DataFrame:
@@ -126,12 +132,12 @@ def _repeated(texts: DataFrame, partitions: int) -> DataFrame:
             return pa.record_batch([pa.array(bucket[cuts], pa.int32()), pa.array([short[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True)], pa.binary())], names=["bucket", "keys"])
 
         for *_, data in _texts(batches):
-            found = Anchors(data).gram
-            held.append(found)
-            size += len(found)
-            if size >= 1 << 21:
-                yield packed()
-                held, size = [], 0
+            for a in anchors(data):
+                held.append(a.gram)
+                size += len(a.gram)
+                if size >= 1 << 21:
+                    yield packed()
+                    held, size = [], 0
         if held:
             yield packed()
 
@@ -167,14 +173,14 @@ def _occurrences(texts: DataFrame, bitmap, partitions: int) -> DataFrame:
         size = 0
         join = lambda: pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
         for ord, tie, _, data in _texts(batches):
-            a = Anchors(data)
-            pick = np.flatnonzero(bloom.holds(bitmap.value, _gram_key(a.gram, partitions)))
-            if len(pick):
-                held.append((a.gram[pick], a.context[pick], np.full(len(pick), ord), np.full(len(pick), tie), _spots(a, pick)))
-                size += len(pick)
-            if size >= 1 << 17:
-                yield join()
-                held, size = [], 0
+            for a in anchors(data):
+                pick = np.flatnonzero(bloom.holds(bitmap.value, _gram_key(a.gram, partitions)))
+                if len(pick):
+                    held.append((a.gram[pick], a.context[pick], np.full(len(pick), ord), np.full(len(pick), tie), _spots(a, pick)))
+                    size += len(pick)
+                if size >= 1 << 17:
+                    yield join()
+                    held, size = [], 0
         if held:
             yield join()
 
@@ -182,44 +188,72 @@ def _occurrences(texts: DataFrame, bitmap, partitions: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, wanted, hot) -> DataFrame:
-    """key, gram, context, ord, tie, spot, start, bytes: of anchors whose occurrence is wanted; those of hot grams cell by cell."""
-    names = ["key", "gram", "context", "ord", "tie", "spot", "start", "bytes"]
+    """key, dealt, gram, context, ord, tie, spot, start, bytes: of anchors whose occurrence is wanted; those of hot grams (dealt)
+    cell by cell."""
+    names = ["key", "gram", "context", "ord", "tie", "spot", "start", "bytes", "dealt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        out = lambda: pa.record_batch([*[pa.array(np.concatenate([np.atleast_1d(r[i]) for r in rows])) for i in range(7)], pa.array([b for r in rows for b in r[7]], pa.binary())], names=names)
+        out = lambda: pa.record_batch([*[pa.array(np.concatenate([np.atleast_1d(r[i]) for r in rows])) for i in range(7)], pa.array([b for r in rows for b in r[7]], pa.binary()), pa.array(np.concatenate([r[8] for r in rows]))], names=names)
         for ord, tie, text, data in _texts(batches):
-            a = Anchors(data)
-            spots = _spots(a, np.arange(len(a.at)))
-            pick = np.flatnonzero(bloom.holds(wanted.value, bloom.mixed(np.full(len(spots), ord), np.full(len(spots), tie), spots)))
-            if not len(pick):
-                continue
-            many = bloom.holds(hot.value, bloom.mixed(a.gram[pick]))
-            for chosen, cells in ((pick[~many], False), (pick[many], True)):
-                if not len(chosen):
+            for a in anchors(data):
+                spots = _spots(a, np.arange(len(a.at)))
+                pick = np.flatnonzero(bloom.holds(wanted.value, bloom.mixed(np.full(len(spots), ord), np.full(len(spots), tie), spots)))
+                if not len(pick):
                     continue
-                low, high, key = a.low[chosen], a.high[chosen], a.gram[chosen]
-                if cells:
-                    first, last = low // CELL, high // CELL
-                    n = last - first + 1
-                    chosen = np.repeat(chosen, n)
-                    cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                    low, high = np.maximum(np.repeat(low, n), cell * CELL), np.minimum(np.repeat(high, n), cell * CELL + CELL - 1)
-                    at = a.at[chosen]
-                    # what all windows of the cell share
-                    core = a.hashed(at + cell * CELL + CELL - 1, at + cell * CELL + LENGTH)
-                    key = bloom.mixed(a.gram[chosen], cell, core.view(np.int64)).view(np.int64)
-                begin, stop = a.at[chosen] + low, a.at[chosen] + high + LENGTH
-                rows.append((key, a.gram[chosen], a.context[chosen], np.full(len(chosen), ord), np.full(len(chosen), tie), spots[chosen], low, [text[i:j] for i, j in zip(begin.tolist(), stop.tolist(), strict=True)]))
-                size += len(chosen)
-            if size >= 1 << 15:
-                yield out()
-                rows, size = [], 0
+                many = bloom.holds(hot.value, bloom.mixed(a.gram[pick]))
+                for chosen, cells in ((pick[~many], False), (pick[many], True)):
+                    if not len(chosen):
+                        continue
+                    low, high, key = a.low[chosen], a.high[chosen], a.gram[chosen]
+                    if cells:
+                        first, last = low // CELL, high // CELL
+                        n = last - first + 1
+                        chosen = np.repeat(chosen, n)
+                        cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                        low, high = np.maximum(np.repeat(low, n), cell * CELL), np.minimum(np.repeat(high, n), cell * CELL + CELL - 1)
+                        at = a.at[chosen]
+                        # what all windows of the cell share
+                        core = a.hashed(at + cell * CELL + CELL - 1, at + cell * CELL + LENGTH)
+                        key = bloom.mixed(a.gram[chosen], cell, core.view(np.int64)).view(np.int64)
+                    begin, stop = a.at[chosen] + low + a.base, a.at[chosen] + high + LENGTH + a.base
+                    rows.append((key, a.gram[chosen], a.context[chosen], np.full(len(chosen), ord), np.full(len(chosen), tie), spots[chosen], low, [text[i:j] for i, j in zip(begin.tolist(), stop.tolist(), strict=True)], np.full(len(chosen), cells)))
+                    size += len(chosen)
+                if size >= 1 << 15:
+                    yield out()
+                    rows, size = [], 0
         if rows:
             yield out()
 
-    return texts.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'bytes' else 'bigint'}" for n in names))
+    return texts.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'bytes' else 'boolean' if n == 'dealt' else 'bigint'}" for n in names))
+
+
+def _single(contexts: DataFrame) -> DataFrame:
+    """gram, context, low, high (the same): windows of contexts that an earlier context of their key has, window by
+    window. Equal windows are one key, so their earliest place is a minimum, formed before the shuffle."""
+    names = ["window", "gram", "context", "low", "ord", "tie", "spot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(i, 1 << 12)
+                data = part.column("bytes").to_pylist()
+                joined = Sums(np.frombuffer(b"".join(data), np.uint8))
+                n = np.array([len(x) - LENGTH + 1 for x in data], np.int64)
+                row = np.repeat(np.arange(len(data)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.cumsum(n + LENGTH - 1) - n - LENGTH + 1
+                hashed = joined.part(begin[row] + step, begin[row] + step + LENGTH)
+                plain = {c: part.column(c).to_numpy()[row] for c in ("gram", "context", "ord", "tie", "spot", "start")}
+                low = plain["start"] + step
+                window = bloom.mixed(plain["gram"], low, hashed.view(np.int64)).view(np.int64)
+                yield pa.record_batch([pa.array(x) for x in (window, plain["gram"], plain["context"], low, plain["ord"], plain["tie"], plain["spot"])], names=names)
+
+    each = contexts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    place = F.struct("ord", "tie", "spot")
+    first = each.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
+    return each.join(first, "window").where(place > F.col("first")).select("gram", "context", "low", F.col("low").alias("high"))
 
 
 def windows(blocks: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -347,7 +381,7 @@ def _ranges(contexts: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([gram[r[0]] for r in out], pa.int64()), pa.array([context[r[0]] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=names)
 
         for batch in batches:
-            for key, g, c, ord, tie, spot, start, text in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+            for key, g, c, ord, tie, spot, start, text in zip(*[batch.column(n).to_pylist() for n in ("key", "gram", "context", "ord", "tie", "spot", "start", "bytes")], strict=True):
                 if key != last:
                     if size >= 16 * BATCH:
                         yield solved()
@@ -378,6 +412,7 @@ def intervals(texts: DataFrame, size: int) -> DataFrame:
     grams = written(_repeated(texts, partitions), "repeats-grams")
     known = share(bloom.build(grams.select("bucket", "short"), grams.count()))
     found = written(_occurrences(texts, known, partitions), "repeats-anchors")
+    discard(grams)
     release(spark)
     each = found.groupBy("gram", "context").agg(F.min(F.struct("ord", "tie", "spot")).alias("first"), F.count(F.lit(1)).alias("n"))
     by_gram = each.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total")).where("total > 1")
@@ -387,9 +422,18 @@ def intervals(texts: DataFrame, size: int) -> DataFrame:
     wanted = share(bloom.build(several.select("first.ord", "first.tie", "first.spot"), several.count()))
     hot = several.where(F.col("contexts") > HOT).select("gram").distinct()
     hot = share(bloom.build(hot, hot.count()))
-    contexts = _contexts(texts, wanted, hot).repartition(partitions, "key").sortWithinPartitions("key")
-    ranges = written(_ranges(contexts), "repeats-ranges")
+    contexts = written(_contexts(texts, wanted, hot), "repeats-bytes")
+    crowded = contexts.where("dealt").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key")
+    crowded = written(crowded, "repeats-crowded")
+    in_arrays, single = contexts, None
+    if not crowded.isEmpty():
+        in_arrays = contexts.join(few(crowded), "key", "left_anti")
+        single = written(_single(contexts.where("dealt").join(few(crowded), "key", "left_semi")), "repeats-single")
+    in_arrays = in_arrays.repartition(partitions, "key").sortWithinPartitions("key")
+    arrays = written(_ranges(in_arrays), "repeats-ranges")
+    discard(contexts, crowded)
     release(spark)
+    ranges = arrays if single is None else arrays.unionByName(single)
     at = F.shiftright("spot", 16)
     packed = lambda low, high: (F.shiftleft(at + low, 32) + (at + high + LENGTH)).alias("span")
     window = lambda shift: F.shiftright("spot", shift).bitwiseAND(F.lit(255)) - 128
@@ -397,7 +441,9 @@ def intervals(texts: DataFrame, size: int) -> DataFrame:
     firsts = groups.select("gram", "context", "first.ord", "first.tie", "first.spot").join(ranges, ["gram", "context"]).select("ord", "tie", packed(F.col("low"), F.col("high")))
     copied = groups.where("n > 1").select("gram", "context", "first")
     later = found.join(copied, ["gram", "context"]).where(F.struct("ord", "tie", "spot") > F.col("first")).select("ord", "tie", packed(window(8), window(0)))
-    return written(firsts.unionByName(later).groupBy("ord", "tie").agg(F.collect_list("span").alias("spans")), "repeats-spans")
+    spans = written(firsts.unionByName(later).groupBy("ord", "tie").agg(F.collect_list("span").alias("spans")), "repeats-spans")
+    discard(found, groups, arrays, single)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -425,11 +471,9 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_
     size = ids.agg(F.sum("n_bytes")).first()[0] or 0
     first = ids.groupBy("digest").agg(F.min(F.struct("ord", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
     first = written(first, "repeats-classes")
-    first = F.broadcast(first) if first.count() <= FEW_COPIES else first
-    copies = written(ids.join(first, F.col("digest") == F.col("_d")).where(F.struct("ord", "tie") > F.col("first")).select("ord", "tie").distinct(), "repeats-copies")
-    small = copies.count() <= FEW_COPIES
-    marked = copies.withColumn("copy", F.lit(True))
-    marked = F.broadcast(marked) if small else marked
+    copies = written(ids.join(few(first), F.col("digest") == F.col("_d")).where(F.struct("ord", "tie") > F.col("first")).select("ord", "tie").distinct(), "repeats-copies")
+    discard(ids, first)
+    marked = few(copies).withColumn("copy", F.lit(True))
     flagged = base.join(marked, ["ord", "tie"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     texts = flagged.where(~F.col("copy") & (F.octet_length("text") >= LENGTH)).select("ord", "tie", "text")
     spans = intervals(texts, size)
