@@ -6,12 +6,13 @@ candidate for a script in which it has at least SCRIPT_SHARE of its letters. The
 the language whose spans hold most letters (the first by name of equals); its score is
 their share of all letters.
 
-The model is fitted on a sample of whole labelled texts: at most about PER_LANG different texts of each of the
-MOST_LANGS commonest languages, and at least one, chosen by a hash of the text; copies teach once. So it, and what is broadcast, has a
-bounded size at any input size; prediction covers all rows and their whole texts.
+The model is fitted on a sample of whole labelled texts: at most about PER_LANG different texts of every language,
+and at least one, chosen by a hash of the text; copies teach once. So it, and what is broadcast (4 x BUCKETS bytes a
+language), grows with the number of languages only; the trigrams of texts are counted for LANGS languages at a time. Prediction covers all rows and their whole
+texts.
 
 Defined results: a null text or one without letters is ``und`` with score 0; letters only of scripts no
-learned language uses give the commonest language with score 0; rows without label or text teach
+learned language uses give the commonest language with score 0; combining marks alone are no letters; rows without label or text teach
 nothing; with nothing to learn from every text is ``und``; repeated rows are predicted alike; an empty
 table gives an empty result; only the columns named are read, so extra columns can't clash.
 """
@@ -36,11 +37,12 @@ SCRIPTS = [
     ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 ]
 BUCKETS = 1 << 16
-PER_LANG, MOST_LANGS, SCRIPT_SHARE = 4000, 128, 0.001
+#: Labelled texts that each language is learned from, about; languages counted at once in a task; share of a script.
+PER_LANG, LANGS, SCRIPT_SHARE = 4000, 64, 0.001
 #: Cost of a change of language between words, in nats; additive smoothing of the trigram counts.
 SWITCH, SMOOTH = 12.0, 0.5
-#: Characters worked on at once.
-CHARS = 1 << 19
+#: Characters worked on at once; longer texts than LONG are labelled part by part, so that memory is bounded.
+CHARS, LONG = 1 << 19, 1 << 21
 
 
 def _script_table() -> np.ndarray:
@@ -59,6 +61,16 @@ def _script_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+_MARKS: list[np.ndarray] = []
+
+
+def marks() -> np.ndarray:
+    """Which code points are combining marks."""
+    if not _MARKS:
+        _MARKS.append(np.array([unicodedata.category(chr(cp))[0] == "M" for cp in range(0x110000)]))
+    return _MARKS[0]
+
+
 def scripts() -> np.ndarray:
     if not _TABLE:
         _TABLE.append(_script_table())
@@ -84,6 +96,8 @@ class Words:
         self.grams = ((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.intp)
         self.script = kind[at[self.first]]
         self.length = np.diff(self.first, append=len(at))
+        #: Letters of each word without its combining marks.
+        self.letters = np.add.reduceat(~marks()[cps[at]], self.first, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
         self.begin = at[self.first]
         #: Place of each text's first word.
         self.of_text = np.searchsorted(self.begin, self.starts)
@@ -112,12 +126,13 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     first, n = bounds[:-1][order], n[order]
-    labels = np.zeros(len(scores), np.uint8)
     k = scores.shape[1]
+    kind = np.uint8 if k <= 256 else np.uint16 if k <= 65_536 else np.uint32
+    labels = np.zeros(len(scores), kind)
     if not len(n) or not n[0] or not k:
         return labels
-    back = np.empty((len(scores), k), np.uint8)
-    same = np.arange(k, dtype=np.uint8)
+    back = np.empty((len(scores), k), kind)
+    same = np.arange(k, dtype=kind)
     active = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts with more than t words
     best = scores[first[: active[0]]].astype(np.float64)
     for t in range(1, n[0]):
@@ -139,40 +154,72 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     return labels
 
 
-def label(texts: list[str | None], model: Model, spans: bool = False) -> list[tuple]:
-    """(lang_pred, score) of each text, and with spans a list of (start, end, lang) in characters."""
-    words = Words([t or "" for t in texts])
+def _cut(text: str) -> Iterator[tuple[int, str]]:
+    """A long text in parts of about LONG characters with their places, cut where a word ends."""
+    kind, start = scripts(), 0
+    while start < len(text):
+        stop = min(start + LONG, len(text))
+        while stop < len(text) and stop < start + 2 * LONG and kind[ord(text[stop])]:
+            stop += 1
+        yield start, text[start:stop]
+        start = stop
+
+
+def _shares(texts: list[str], model: Model, spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
+    """Of each text: characters of words by language, of all words, letters, and the spans."""
+    words = Words(texts)
     labels = viterbi(model.word_scores(words), words.of_text)
     k = len(model.langs)
     text_of = np.repeat(np.arange(len(texts)), np.diff(words.of_text))
     known = model.candidates[words.script].any(axis=1)
-    share = np.bincount(text_of * k + labels, weights=words.length * known, minlength=len(texts) * k).reshape(-1, k) if k else np.zeros((len(texts), 0))
-    letters = np.bincount(text_of, weights=words.length, minlength=len(texts))
+    share = np.bincount(text_of * k + labels.astype(np.intp), weights=words.length * known, minlength=len(texts) * k).reshape(-1, k) if k else np.zeros((len(texts), 0))
+    size = np.bincount(text_of, weights=words.length, minlength=len(texts))
+    letters = np.bincount(text_of, weights=words.letters, minlength=len(texts))
+    parts: list[list] = [[] for _ in texts]
+    for i in range(len(texts)) if spans and k else ():
+        a, b = words.of_text[i : i + 2]
+        here, begin, stop = labels[a:b].astype(np.intp), words.begin[a:b] - words.starts[i], words.begin[a:b] + words.length[a:b] - words.starts[i]
+        cut = np.flatnonzero(np.diff(here, prepend=-1))
+        last = np.append(cut[1:], b - a) - 1
+        parts[i] = [(int(begin[c]), int(stop[e]), model.langs[here[c]]) for c, e in zip(cut, last, strict=True)] if b > a else []
+    return share, size, letters, parts
+
+
+def label(texts: list[str | None], model: Model, spans: bool = False) -> list[tuple]:
+    """(lang_pred, score) of each text, and with spans a list of (start, end, lang) in characters."""
+    share, size, letters, parts = _shares(["" if t is None or len(t) > LONG else t for t in texts], model, spans)
+    for i, t in enumerate(texts):
+        for start, part in _cut(t) if t and len(t) > LONG else ():
+            found = _shares([part], model, spans)
+            share[i] += found[0][0]
+            size[i] += found[1][0]
+            letters[i] += found[2][0]
+            for a, b, lang in found[3][0]:
+                if parts[i] and parts[i][-1][2] == lang:
+                    parts[i][-1] = (parts[i][-1][0], start + b, lang)
+                else:
+                    parts[i].append((start + a, start + b, lang))
     out: list[tuple] = []
     for i in range(len(texts)):
-        if not k or not letters[i]:
-            found: tuple = ("und", 0.0)
+        if not share.shape[1] or not letters[i]:
+            best: tuple = ("und", 0.0)
         elif not share[i].any():
-            found = (model.langs[model.commonest], 0.0)
+            best = (model.langs[model.commonest], 0.0)
         else:
             top = int(share[i].argmax())
-            found = (model.langs[top], float(share[i][top] / letters[i]))
-        if spans:
-            a, b = words.of_text[i : i + 2]
-            here, begin, stop = labels[a:b], words.begin[a:b] - words.starts[i], words.begin[a:b] + words.length[a:b] - words.starts[i]
-            cut = np.flatnonzero(np.diff(here, prepend=-1)) if b > a and k else np.zeros(0, np.intp)
-            last = np.append(cut[1:], b - a) - 1
-            found += ([(int(begin[c]), int(stop[e]), model.langs[here[c]]) for c, e in zip(cut, last, strict=True)] if len(cut) else [],)
-        out.append(found)
+            best = (model.langs[top], float(share[i][top] / size[i]))
+        out.append(best + ((parts[i],) if spans else ()))
     return out
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about CHARS characters together, with the place of the first."""
+def _pieces(texts: list[str | None], langs: int = 1) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about CHARS characters together (fewer for many languages, each of which a word has a
+    score for), with the place of the first."""
+    most = max(1 << 12, CHARS * 16 // max(16, langs))
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= CHARS:
+        if size >= most:
             yield start, texts[start : i + 1]
             start, size = i + 1, 0
     if start < len(texts):
@@ -180,48 +227,61 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def _count(langs: list[str]):
-    """Counts by language and trigram bucket (and, below zero, by script) of a partition."""
+    """Counts by language and trigram bucket (and, below zero, by script) of a partition, for which at most LANGS languages
+    are held at once; sums over partitions (and parts of one) follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {name: i for i, name in enumerate(langs)}
-        grams = np.zeros((len(langs), BUCKETS), np.int64)
-        by_script = np.zeros((len(langs), 256), np.int64)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for lang, tables in held.items():
+                for table, sign in zip(tables, (1, -1), strict=True):
+                    columns = np.flatnonzero(table)
+                    yield pa.record_batch([pa.array(np.full(len(columns), lang), pa.int32()), pa.array(sign * columns, pa.int32()), pa.array(table[columns], pa.int64())], names=["lang", "feature", "n"])
+            held.clear()
+
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, piece in _pieces(texts):
                 words = Words([t or "" for t in piece])
-                lang = np.repeat([place[x] for x in names[start : start + len(piece)]], np.diff(words.of_text))
+                text_lang = np.array([place[x] for x in names[start : start + len(piece)]])
+                lang = np.repeat(text_lang, np.diff(words.of_text))
                 each = np.repeat(lang, words.length)
-                np.add.at(by_script, (lang, words.script), words.length)
-                grams += np.bincount(each * BUCKETS + words.grams, minlength=grams.size).reshape(grams.shape)
-        for table, sign in ((grams, 1), (by_script, -1)):
-            rows, columns = np.nonzero(table)
-            yield pa.record_batch([pa.array(rows, pa.int32()), pa.array(sign * columns, pa.int32()), pa.array(table[rows, columns], pa.int64())], names=["lang", "feature", "n"])
+                for one in np.unique(text_lang).tolist():
+                    if one not in held and len(held) >= LANGS:
+                        yield from packed()
+                    grams, by_script = held.setdefault(one, (np.zeros(BUCKETS, np.int64), np.zeros(256, np.int64)))
+                    grams += np.bincount(words.grams[each == one], minlength=BUCKETS)
+                    by_script += np.bincount(words.script[lang == one], weights=words.length[lang == one], minlength=256).astype(np.int64)
+        yield from packed()
 
     return run
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS, text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text", lang: str = "lang") -> Model:
     """Learns from the rows that have text and lang."""
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     texts = known.groupBy("lang", F.xxhash64("text").alias("hash"), spot.alias("spot")).agg(F.count(F.lit(1)).alias("n"))
-    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("spot").alias("least")).sort(F.desc("n"), "lang").limit(most_langs).collect()
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("spot").alias("least")).collect()  # one row a language
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((256, 0), bool), 0)
     sizes = dict(sorted((r[0], r[1]) for r in counts))
     langs = list(sizes)
-    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"] + 1, int(min(1.0, per_lang / r["texts"]) * (1 << 30))))])
-    sample = known.where(F.col("lang").isin(langs)).where(spot < F.try_element_at(limit, F.col("lang"))).dropDuplicates(["lang", "text"])
+    limits = [(r["lang"], max(r["least"] + 1, int(min(1.0, per_lang / r["texts"]) * (1 << 30)))) for r in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "_lang string, _limit bigint")
+    sample = known.join(F.broadcast(limits), F.col("lang") == F.col("_lang")).where(spot < F.col("_limit")).select("text", "lang").dropDuplicates(["lang", "text"])
     found = sample.mapInArrow(lean(_count(langs)), "lang int, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     which, feature, n = (found.column(i).to_numpy() for i in range(3))
-    grams, by_script = np.zeros((BUCKETS, len(langs))), np.zeros((256, len(langs)))
+    grams, by_script = np.zeros((BUCKETS, len(langs)), np.float32), np.zeros((256, len(langs)))
     gram = feature >= 0
     # bucket 0 and script 0 never meet: script 0 stands for no letter
     grams[feature[gram], which[gram]] = n[gram]
     by_script[-feature[~gram], which[~gram]] = n[~gram]
-    scores = np.log((grams + SMOOTH) / (grams.sum(axis=0) + SMOOTH * BUCKETS)).astype(np.float32)
+    total = (grams.sum(axis=0, dtype=np.float64) + SMOOTH * BUCKETS).astype(np.float32)
+    scores = np.log((grams + np.float32(SMOOTH)) / total)
     letters = by_script.sum(axis=0)
     return Model(langs, scores, (by_script > 0) & (by_script >= SCRIPT_SHARE * letters), int(np.argmax([sizes[x] for x in langs])))
 
@@ -235,7 +295,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            for start, piece in _pieces(texts):
+            for start, piece in _pieces(texts, len(held.value.langs)):
                 found = label(piece, held.value, spans)
                 columns = [batch.column(c).slice(start, len(piece)) for c in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 if spans:
