@@ -1,8 +1,11 @@
 """URL filtering by host-suffix / path-prefix rules (native DataFrame operations only).
 
-Every distinct URL is expanded into its host suffixes times those path prefixes whose length
-some rule has. The expansions meet the rules in an equi-join on the first four bytes of their
-SHA-256; the full digest then confirms the match, and precedence picks one rule per URL.
+Every distinct URL is expanded into those host suffixes and path prefixes that have a length of some rule: hosts
+by their number of labels, paths by their number of characters. The expansions meet the rules in an equi-join on the first
+four bytes of their SHA-256; the full digest then confirms the match, and precedence picks one rule per URL.
+So a URL of thousands of labels or characters has no more expansions than the rules have different pairs of lengths, and
+none that is longer than it. A rule table's pairs of lengths are a table too, of any size: broadcast while it is small,
+else joined by the number of labels.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no rule.
 Repeated URLs are judged once and joined back, so repeated rows and null or repeated ids
@@ -39,18 +42,36 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
+def _labels(host: str) -> Column:
+    return F.length(host) - F.length(F.translate(host, ".", "")) + 1
+
+
 def _prepared(rules: DataFrame) -> DataFrame:
     """rule, verdict, key and digest. Of equal rules a block is kept."""
     rule = F.concat("host", "path")
     return (
         rules.where("host is not null and path is not null")
-        .select(rule.alias("rule"), F.length(rule).alias("rule_len"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), "verdict", F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("digest"))
-        .groupBy("rule", "rule_len", "host_len", "path_len", "digest")
+        .select(rule.alias("rule"), F.length(rule).alias("rule_len"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), _labels("host").alias("labels"), "verdict", F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("digest"))
+        .groupBy("rule", "rule_len", "host_len", "path_len", "labels", "digest")
         .agg(F.max("verdict").alias("verdict"))
         .withColumn("key", F.substring("digest", 1, 8))
     )
 
 
+def _with_shapes(urls: DataFrame, shapes: DataFrame, small: bool) -> DataFrame:
+    """Every URL with the pairs of lengths (labels of the host, characters of the path) that it is long enough for."""
+    if small:  # as one array of at most BROADCAST_RULES numbers: labels in the high half, characters in the low one
+        packed = sorted((r["labels"] << 32) + r["path_len"] for r in shapes.collect())
+        every = F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>") if packed else F.array().cast("array<bigint>")
+        labels, size = lambda s: F.shiftright(s, 32), lambda s: s.bitwiseAND(F.lit((1 << 32) - 1))
+        fit = F.filter(every, lambda s: (labels(s) <= F.col("deep")) & (size(s) <= F.length("p")))
+        shaped = urls.withColumn("shape", F.explode(fit))
+        return shaped.select("__url", "h", "p", labels(F.col("shape")).cast("int").alias("labels"), size(F.col("shape")).cast("int").alias("path_len"))
+    most = shapes.agg(F.max("labels")).scalar()
+    tried = urls.withColumn("labels", F.explode(F.sequence(F.lit(1), F.least("deep", most))))
+    return tried.join(shapes, "labels").where(F.col("path_len") <= F.length("p"))
+
+
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """keep, host, path, rule and verdict of every row.
 
@@ -58,19 +79,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str,
     rule wins; of two equally long, the one with the longer host. No rule: ``default``.
     """
     rules = _prepared(rules)
-    lengths = [r[0] for r in rules.select("path_len").distinct().sort("path_len").collect()]
+    shapes = rules.select("labels", "path_len").distinct()
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     rules = F.broadcast(rules) if small else rules
     base = pages.select(*keep, F.col(url).alias("__url"))
     urls = base.where("__url is not null").select("__url").distinct().select("__url", host_of(F.col("__url")).alias("h"), path_of(F.col("__url")).alias("p"))
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    fitting = F.filter(F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("p"))
+    fits = _with_shapes(urls.where("h <> ''").withColumn("deep", _labels("h")), shapes, small)
+    suffix = F.expr("substring_index(h, '.', -labels)")
     expanded = (
-        urls.where("h <> ''")
-        .select("__url", "p", F.explode(suffixes).alias("suffix"))
-        .select("__url", "p", "suffix", F.explode(fitting).alias("n"))
-        .select("__url", F.sha2(F.concat_ws("\n", "suffix", F.substring(F.col("p"), F.lit(1), F.col("n"))), 256).alias("full"))
+        fits.select("__url", F.sha2(F.concat_ws("\n", suffix, F.substring(F.col("p"), F.lit(1), F.col("path_len"))), 256).alias("full"))
         .withColumn("key", F.substring("full", 1, 8))
     )
     best = (
