@@ -51,7 +51,7 @@ def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), strict=True)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -6,13 +6,18 @@ stored once: the record with the largest id is the response, the others are revi
 refer to it.
 
 Reader: walks an archive (members of gzip, or plain records). A record counts only if its version line,
-header block, lengths, closing line breaks and both digests are right. After a failed check it
+header block, lengths, closing line breaks and those digests that it states (they are optional in the format; the
+writer states both) are right. After a failed check it
 searches on from the next byte for a place where a valid member or version line starts, and logs the
 bytes in between as a quarantined gap with the reason of the failure. Within what a member holds, and what one cut off
 at the archive's end still gives (but for a record that ends just where it does), it searches on alike; a whole member of which a record failed is logged as
 one gap, though its other records count. A member that fails its own checksum gives nothing, since no digest
 covers the headers of its records. Valid records of other types than response and revisit are skipped without a gap.
 
+Scale: payloads are not moved. The digests that several pages have are joined with the pages as ids; while they are few
+they are broadcast, so that a page that a third of the rows share stays where it is read; beyond that the join splits
+such a key (AQE).
+
 Defined results: a null payload counts as empty; null ids and URLs leave their header out and are
 read back as null; among equal payloads a null id is smaller than any other, and all rows that
 share the largest id are responses; repeated rows are repeated records; an empty table gives no
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, lean, written
+from tidewater.llm.common import bounded_batches, few, lean, written
 
 #: Packed bytes per archive, least payload that is stored once, zlib level.
 ARCHIVE, LEAST, LEVEL = 4 << 20, 1000, 6
@@ -248,6 +253,7 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     base = base.withColumn("digest", F.unhex(F.sha1("html")))
     large = F.octet_length("html") >= least
     kept = base.where(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 and kept is not null").select(F.col("digest").alias("_digest"), "kept")
+    kept = few(written(kept, "warc-kept"))
     joined = base.join(kept, large & (F.col("digest") == F.col("_digest")), "left")
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
@@ -264,15 +270,17 @@ GAPS = "gap_from bigint, gap_to bigint, reason string"
 _KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
 
-def read(archives: DataFrame, content: str = "content", payload: bool = False) -> DataFrame:
+def read(archives: DataFrame, content: str = "content", payload: bool = False, strict: bool = False) -> DataFrame:
     """PAGES (and payload, null for revisits) of all records that could be read. Also takes what
-    Spark's binaryFile source gives."""
+    Spark's binaryFile source gives. strict: damage is an error; else it is only in ``gaps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PAGES.split(", ")] + ["payload"] * payload
         for batch in batches:
             for value in batch.column(0):
-                found = salvage(value.as_py())[0] if value.is_valid else []
+                found, lost = salvage(value.as_py()) if value.is_valid else ([], [])
+                if strict and lost:
+                    raise Damage(f"bytes {lost[0][0]} to {lost[0][1]} of an archive: {lost[0][2]}")
                 yield pa.record_batch([pa.array([r[i] for r in found], _KINDS[i]) for i in range(len(names))], names=names)
 
     return archives.select(content).mapInArrow(lean(run), PAGES + ", payload binary" * payload)
