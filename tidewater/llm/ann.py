@@ -13,12 +13,12 @@ can need; so a vector that a third of the rows share costs no more than another.
 still long is split into salted parts of about PART entries, each searched by a task of its own; of more
 than TURN queries, each such part is searched in several turns.
 
-Bounds: SAMPLE vectors and MOST_LISTS centroids at most are on the driver and broadcast, whatever the size
-of the table; every row is indexed.
+Bounds: at most SAMPLE vectors, MOST_LISTS centroids and SAMPLE_BYTES of either are on the driver and broadcast, whatever
+the size of the table and of its vectors; every row is indexed.
 
 Defined results: null vectors, those holding a null or non-finite component, zero vectors and those whose
 length is not the commonest (the smaller of equals) take no part; rows with a null id take no part;
-rows repeated with the same id count once; an empty table gives an empty result; only
+of rows with the same id the least vector (component by component) counts; an empty table gives an empty result; only
 the columns named are read, so extra columns can't clash.
 """
 
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import written
 
-SAMPLE, LIST, MOST_LISTS, PART, TURN = 32_768, 128, 4096, 4096, 1 << 16
-#: Links of a centroid, breadth of a walk, most lists of a vector, nearness for replicas, and of probed lists.
-LINKS, BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 96, 5, 1.15, 1.45
+SAMPLE, SAMPLE_BYTES, LIST, MOST_LISTS, PART, TURN = 65_536, 64 << 20, 128, 16_384, 4096, 1 << 16
+#: Links of a centroid, breadth of a query's walk and of a vector's, most lists of a vector, nearness for replicas, and of probed lists.
+LINKS, BREADTH, HOME_BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 96, 32, 5, 1.15, 1.45
 #: A centroid is left out for replicas only if a chosen one is nearer to it than this share of its distance to
 #: the vector; near 1 no replica is left in many dimensions, where centroids lie nearer to each other than to vectors.
 BETWEEN = 0.2
@@ -132,11 +132,8 @@ class Index:
         return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
     def homes(self, x: np.ndarray) -> Iterator[list[int]]:
-        """The lists of each vector. Lists are only as good as these, so all centroids are looked at, as one product."""
-        far = _distances(x, self.centroids)
-        found = np.argsort(far, axis=1, kind="stable")[:, :16]
-        dist = np.take_along_axis(far, found, axis=1)
-        for ids, d in zip(found.tolist(), dist.tolist(), strict=True):
+        """The lists of each vector, found by a walk."""
+        for ids, d in zip(*(f.tolist() for f in self.walk(x, HOME_BREADTH)), strict=True):
             mine = [ids[0]]
             for c, far in zip(ids[1:], d[1:], strict=True):
                 if c < 0 or far > BOUNDARY * d[0] or len(mine) >= REPLICAS:
@@ -186,7 +183,7 @@ def prepared(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> Da
     common = rows.groupBy(F.size("embedding").alias("d")).count().sort(F.desc("count"), "d").first()
     kind = df.schema[vector].dataType.simpleString()
     same = rows.where(F.size("embedding") == (common["d"] if common else 0))
-    return same.select("vec_id", F.transform("embedding", lambda v: F.when(v == 0, F.lit(0)).otherwise(v)).cast(kind).alias("embedding")).dropDuplicates(["vec_id"])
+    return same.select("vec_id", F.transform("embedding", lambda v: F.when(v == 0, F.lit(0)).otherwise(v)).cast(kind).alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # rep of the query, vec_id, distance
@@ -232,13 +229,15 @@ def search(df: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vect
     kind = rows.schema["embedding"].dataType.simpleString()
     vectors = written(distinct_vectors(rows, k), "ann-vectors")
     n = vectors.count()
-    drawn = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
-    sample = vectors.where(drawn).select("embedding").limit(2 * SAMPLE).toArrow().column(0).combine_chunks()
-    if not n or not len(sample):
-        sample = vectors.select("embedding").limit(SAMPLE).toArrow().column(0).combine_chunks()
-    dim = len(sample[0]) if len(sample) else 1
+    dim = len(vectors.first()["embedding"]) if n else 1
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    spot = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30))
+    drawn = vectors.where(spot < int(min(1.0, most / max(n, 1)) * (1 << 30)) + 1).select("embedding").limit(most + most // 8)
+    sample = drawn.toArrow().column(0).combine_chunks()
+    if n and not len(sample):
+        sample = vectors.select("embedding").limit(most).toArrow().column(0).combine_chunks()
     points = np.unique(_matrix(sample, dim), axis=0)  # its order does not hang on that of the rows
-    index = Index.over(bisected(points, max(1, min(n // LIST, MOST_LISTS)))) if len(points) else Index.over(np.zeros((1, 1)))
+    index = Index.over(bisected(points, max(1, min(n // LIST, MOST_LISTS, most)))) if len(points) else Index.over(np.zeros((1, 1)))
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
