@@ -94,15 +94,56 @@ def repeat_docs():
     ]
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, crowd, piece", [(512, 512, 1 << 20), (1, 512, 300), (1, 1, 1 << 20)])
+def test_repeats(spark, monkeypatch, hot, crowd, piece):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "PIECE", piece)
     docs = repeat_docs()
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS).withColumn("ord", F.lit(1)).withColumn("copy", F.lit("x")).repartition(3)
     found = {r[0]: (*r[1:5], r[5]) for r in rows(repeats.remove(df, with_kept=True))}
     assert found == {i: (*v[:4], v[4].decode("utf-8", "ignore")) for i, v in brute.repeats(docs).items()}
 
 
+def test_pieces_have_the_anchors_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    for data in (rng.integers(97, 100, 20_000), np.full(5000, 122), np.tile(rng.integers(0, 256, 70), 90)):
+        data = data.astype(np.uint8)
+        whole = repeats.Anchors(data)
+        for piece in (150, 1000, 4096):
+            monkeypatch.setattr(repeats, "PIECE", piece)
+            parts = [*repeats.anchors(data)]
+            for name in ("low", "high", "gram", "context"):
+                assert (np.concatenate([getattr(a, name) for a in parts]) == getattr(whole, name)).all()
+            assert (np.concatenate([a.at + a.base for a in parts]) == whole.at).all()
+
+
+def test_a_common_line_in_ever_different_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 4)
+    monkeypatch.setattr(repeats, "CROWD", 6)
+    rng = random.Random(12)
+    vary = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line = vary(125)
+    docs = [(i, vary(rng.randrange(60, 200)) + line + vary(rng.randrange(60, 200))) for i in range(40)] + [(100, line), (101, vary(30) + line[:104])]
+    found = {r[0]: r[1:5] for r in rows(repeats.remove(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)))}
+    assert found == {i: v[:4] for i, v in brute.repeats(docs).items()}
+
+
+def test_fifty_megabytes_in_bounded_memory():
+    """Anchors and shingles of one long text, part by part."""
+    import resource
+
+    rng = np.random.default_rng(8)
+    words_ = np.array([bytes(rng.integers(97, 123, 9).astype(np.uint8)).decode() for _ in range(5000)])
+    text = " ".join(words_[rng.integers(0, 5000, 5_000_000)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n = sum(len(a.at) for a in repeats.anchors(np.frombuffer(text.encode(), np.uint8)))
+    assert n > len(text) // 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    owner, value, weight = near.shingles([text])
+    assert weight.sum() == 5_000_000 - 4 and (np.diff(value.astype(object)) > 0).all() and near.signatures(owner, value, weight, 1).any()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_200_000
+
+
 def test_repeats_of_null_and_repeated_ids(spark):
     a = words(60, 1)
     df = spark.createDataFrame([(None, a), (3, a), (3, a), (3, "other " + a), (None, None)], "doc_id bigint, text string")
@@ -136,6 +177,29 @@ def test_near_duplicates(spark, monkeypatch, leaders):
     assert {r.doc_id: r.class_id for r in near.classes(df).collect()} == brute.near(docs)
 
 
+@pytest.mark.parametrize("least", [0.0, 0.5])
+def test_near_duplicates_in_blocks(spark, monkeypatch, least):
+    """Buckets of many unlike texts that share a passage, in small parts; without the signature test as well."""
+    monkeypatch.setattr(near, "LEADERS", (1,))
+    monkeypatch.setattr(near, "PART", 5)
+    common = words(60, 50)
+    docs = [(i, common + " " + words(25, 300 + i)) for i in range(40)] + [(100 + i, common + " " + words(25, 300 + i) + f" more{i}") for i in range(0, 40, 3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in near.classes(df, least=least).collect()}
+    assert found == brute.near(docs) and len(set(found.values())) < len(found)
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    text = words(3000, 20) + " " + "x" * 9000 + " " + words(500, 21)
+    whole = near.shingles([near.canonical(text)])
+    marks = near.signatures(*whole, 1)
+    monkeypatch.setattr(near, "CHARS", 700)
+    monkeypatch.setattr(near, "SHINGLES", 100)
+    parts = near.shingles(["a b", near.canonical(text), "c"])
+    mine = parts[0] == 1
+    assert (parts[1][mine] == whole[1]).all() and (parts[2][mine] == whole[2]).all() and (near.signatures(*parts, 3)[1] == marks).all()
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "A b  c"), (4, "A b  c"), (2, "x"), (None, None), (None, None)], "doc_id bigint, text string")
     assert Counter((r.doc_id, r.class_id) for r in near.classes(df).collect()) == {(None, 4): 1, (4, 4): 2, (2, 2): 1, (None, None): 2}
@@ -364,7 +428,30 @@ def test_language_fit_is_bounded(spark):
     docs = spark.createDataFrame([("en", f"the house {i}") for i in range(300)] + [("de", "das haus")], "lang string, text string")
     m = langid.fit(docs, per_lang=50)
     assert m.langs == ["de", "en"] and langid.label(["the house"], m)[0][0] == "en"
-    assert langid.fit(docs, most_langs=1).langs == ["en"]
+
+
+def test_two_hundred_languages(spark, monkeypatch):
+    """All are learned, whatever their number."""
+    name = lambda i: f"l{i:03d}"
+    data = [(name(i), words(8, 9000 + i)) for i in range(200)] + [(name(0), words(5, 9000))] * 30
+    monkeypatch.setattr(langid, "LANGS", 7)
+    m = langid.fit(spark.createDataFrame(data, "lang string, text string"))
+    assert m.langs == [name(i) for i in range(200)]
+    assert np.mean([langid.label([t], m)[0][0] == lang for lang, t in data[:200]]) > 0.9
+
+
+def test_marks_are_no_letters(spark):
+    m = toy_model(spark)
+    assert langid.label(["\u0301\u0301", "\u0301 12", "e\u0301"], m)[:2] == [("und", 0.0)] * 2 and langid.label(["the\u0301 house"], m)[0][0] == "en"
+
+
+def test_language_of_long_texts(spark, monkeypatch):
+    m = toy_model(spark)
+    text = "the water of the house and this world was for it " * 40 + "der die und das ist nicht ein haus wasser zu den von der welt " * 30
+    (lang, score, spans), = langid.label([text], m, spans=True)
+    monkeypatch.setattr(langid, "LONG", 200)
+    (again, about, parts), = langid.label([text], m, spans=True)
+    assert lang == again and abs(score - about) < 0.02 and [s[2] for s in parts] == [s[2] for s in spans] and parts[-1][1] == spans[-1][1]
 
 
 def test_language_fit_draws_different_texts(spark):
@@ -463,6 +550,15 @@ def test_salvage(spark, packed):
     assert warc.salvage(b"") == ([], []) and warc.salvage(whole[5 : starts[2]])[0][-1][0] == 1
     df = spark.createDataFrame([("f", bytearray(b"xx" + parts[3])), ("g", None)], "path string, content binary")
     assert rows(warc.gaps(df)) and [r.page_id for r in warc.read(df).collect()] == [3]
+    with pytest.raises(Exception, match="of an archive"):
+        warc.read(df, strict=True).collect()
+
+
+def test_records_without_digests(spark):
+    body = b"HTTP/1.1 200 OK\r\n\r\n<p>hi"
+    plain = lambda kind, block, more=b"": b"WARC/1.1\r\nWARC-Type: %s\r\nX-Page-ID: 7\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, more, len(block), block)
+    found, gaps = warc.salvage(plain(b"response", body) + plain(b"response", body, b"WARC-Payload-Digest: sha1:AAAA\r\n") + plain(b"revisit", b""))
+    assert [(p[0], p[2], p[3]) for p in found] == [(7, "response", 5), (7, "revisit", 0)] and [g[2] for g in gaps] == ["payload digest differs"]
 
 
 def test_salvage_inside_members():
@@ -490,6 +586,23 @@ def test_url_rules_of_many_lengths(spark):
     assert found.verdict == "block" and len(found.rule) == 4154
 
 
+def test_url_rules_beyond_any_number_of_lengths(spark, monkeypatch):
+    """5,000 path lengths; once as a table that is broadcast, once as one that is not."""
+    rules = [("com", "/" + "a" * i, "block" if i % 2 else "allow") for i in range(5000)] + [("b.net", "/", "block")]
+    df = spark.createDataFrame([(i, f"http://x.com/{'a' * i}") for i in (4203, 4100, 3, 4998)] + [(9, "http://b.net/x"), (8, "http://net/x")], "page_id bigint, url string")
+    for most in (url_filter.BROADCAST_RULES, 10):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+        found = {r.page_id: (r.verdict, len(r.rule or "")) for r in url_filter.judge(df, url_filter.rule_table(spark, rules)).collect()}
+        assert found == {4203: ("block", 4207), 4100: ("allow", 4104), 3: ("block", 7), 4998: ("allow", 5002), 9: ("block", 6), 8: ("allow", 0)}
+
+
+def test_hosts_of_many_labels(spark):
+    host = "a." * 10_000 + "example.com"
+    df = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://" + "." * 9_999 + "/")], "page_id bigint, url string")
+    found = {r.page_id: (r.rule, r.host) for r in url_filter.judge(df, url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert found == {1: ("example.com/en/", host), 2: (None, "." * 9_999)}
+
+
 def test_url_rules(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en", "block"), ("example.com", "/en/x", "allow"), ("www.example.com", "/", "block"), ("net", "", "block"), ("net", "", "allow")]
     hosts = ["com", "example.com", "EXAMPLE.com", "www.example.com", "a.b.www.example.com", "notexample.com", "x.net", "net", "example.org", "", "com.", "é.com", "example.com:80"]
