@@ -49,13 +49,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each pass in which a document is taken; the one at the cut keeps its first words."""
     keyed = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    mixed = mixing.mix(keyed, keep=("doc_id", "source", "key"))
-    some = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "size", F.filter("takes", lambda t: t > 0).alias("takes")).where(F.size("takes") > 0)
-    some = written(some.groupBy("_id", "_source", "_key", "size").agg(F.flatten(F.collect_list("takes")).alias("takes"), F.count(F.lit(1)).alias("rows")), "pipeline-takes")
-    if not some.where("rows > 1").isEmpty():  # equal rows: their passes are together now
+    mixed = mixing.mix(keyed, keep=("doc_id", "source", "key")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "size", "takes")
+    mixed = written(mixed, "pipeline-takes")
+    if not mixed.groupBy("_id", "_source", "_key").count().where("count > 1").isEmpty():  # equal rows: their passes are counted together
         keyed = keyed.dropDuplicates(["doc_id", "source", "key"])
+    each = mixed.select("_id", "_source", "_key", "size", F.explode("takes").alias("take")).where("take > 0")
+    taken = each.groupBy("_id", "_source", "_key", "size", "take").agg(F.count(F.lit(1)).alias("passes"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key"))
-    passes = keyed.join(some, on).withColumn("take", F.explode("takes"))
+    passes = keyed.join(taken, on).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), "passes")))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
     return passes.withColumn("text", F.when(F.col("take") < F.col("size"), first).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
