@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.errors import AccessProblem
-from tidewater.operators import changes
+from tidewater.operators import changes, delta
 from tidewater.operators.lower import Lowering
 from tidewater.plans import cost, security
 from tidewater.plans.catalog import Catalog
@@ -19,14 +19,17 @@ from tidewater.plans.syntax import parse
 
 @dataclass
 class Changed:
-    """Result of an INSERT, DELETE or UPDATE: the rows before and after, and how to count what happened."""
+    """Result of an INSERT, DELETE or UPDATE: the rows that came and went, and how to count what happened."""
 
     table: str
     inserts: DataFrame
     deletes: DataFrame
+    matched: DataFrame | None = None  # of an UPDATE: also those that stay as they are
 
     def metrics(self) -> dict[str, int]:
-        """Costs two jobs."""
+        """Costs a job or two."""
+        if self.matched is not None:
+            return {"updated": self.matched.count()}
         return {"inserted": self.inserts.count(), "deleted": self.deletes.count()}
 
 
@@ -63,25 +66,31 @@ class Database:
         plan = bind(self.catalog, sql, caller)
         if caller not in (None, self.catalog.owner):
             raise AccessProblem("only the owner may change tables by SQL")
-        old = self.catalog.frames[plan.table]  # type: ignore[union-attr]
+        name = plan.table  # type: ignore[union-attr]
+        table, old = self.catalog.tables[name], self.catalog.frames[name]
+        if table.sequence:
+            self.catalog.start_sequence(name)  # from the rows before the first change
         if isinstance(plan, InsertPlan):
-            rows = changes.literal_rows(self.catalog, plan, caller)
-            fresh = changes.added(old, rows, few=True)
-            new, out = old.unionByName(fresh), Changed(plan.table, fresh, old.limit(0))
+            fresh = changes.literal_rows(self.catalog, plan, caller)
+            new, out = old.unionByName(fresh), Changed(name, fresh, old.limit(0))
         elif isinstance(plan, DeletePlan):
             new = changes.delete(self.catalog, plan, caller)
-            out = Changed(plan.table, old.limit(0), changes.matched(self.catalog, plan.table, plan.where, caller))
+            out = Changed(name, old.limit(0), changes.matched(self.catalog, name, plan.where, caller))
         else:
             assert isinstance(plan, UpdatePlan)
-            before = changes.matched(self.catalog, plan.table, plan.where, caller)
+            came, gone = changes.updated(self.catalog, plan, caller)
+            assigned = {c for c, _ in plan.values}
+            if any(i.unique and set(i.columns) & assigned for i in table.indexes):
+                rest = old.join(gone, changes.same(old, gone, old.columns), "left_anti")
+                changes.check_unique(table, rest, came, assigned)
             new = changes.update(self.catalog, plan, caller)
-            out = Changed(plan.table, new.exceptAll(old), before)
-        self.catalog.put(plan.table, new)
+            out = Changed(name, came, gone, changes.matched(self.catalog, name, plan.where, caller))
+        self.catalog.move(name, new, delta.weighted(out.inserts, out.deletes))
         return out
 
     def visible_tables(self, caller: bytes | None = None) -> list[str]:
         """What SELECT * FROM * stands for: all public user tables that are not event tables."""
-        return [t.name for t in self.catalog.tables.values() if t.public and not t.event and not t.view]
+        return self.catalog.visible_tables()
 
     def everything(self, caller: bytes | None = None) -> dict[str, DataFrame]:
         return {name: self.sql(f'SELECT * FROM "{name}"', caller) for name in self.visible_tables(caller)}

@@ -19,3 +19,7 @@ class AccessProblem(QueryError):
 
 class LimitProblem(QueryError):
     """It is estimated to touch more rows than the caller may."""
+
+
+class ConstraintProblem(QueryError):
+    """It would give two rows the same unique key."""

@@ -130,7 +130,7 @@ class Rows:
 
     filter = where
 
-    def _join(self, other: Rows | From, on, out: Table, conditions: list[Condition | None]) -> Joined:
+    def _join(self, other: Rows | From, on, out: Table, conditions: list[Condition | None], first: str | None = None) -> Joined:
         if other.table.name == self.table.name:
             raise BindProblem("a table cannot be semijoined with itself")
         a, b = on(self.columns, Columns(other.table))
@@ -138,11 +138,15 @@ class Rows:
             raise BindProblem(f"{a.type} is joined with {b.type}")
         if not (a.indexed() and b.indexed()):
             raise BindProblem("both columns of a semijoin need an index")
-        text = f"SELECT {quoted(out.name)}.* FROM {quoted(self.table.name)} JOIN {quoted(other.table.name)} ON {a.sql} = {b.sql}"
+        tables = [self.table.name, other.table.name] if first in (None, self.table.name) else [other.table.name, self.table.name]
+        text = f"SELECT {quoted(out.name)}.* FROM {quoted(tables[0])} JOIN {quoted(tables[1])} ON {a.sql} = {b.sql}"
         return Joined(self.catalog, text, Columns(out), [c for c in conditions if c is not None])
 
-    def left_semijoin(self, other: Rows, on) -> Joined:
-        """Rows of this table, one for each match (not each once)."""
+    def left_semijoin(self, other: Rows, on, filter_first: bool = False) -> Joined:
+        """Rows of this table, one for each match (not each once). filter_first: the text names the other table, and its
+        conditions, first, as some clients' builders do."""
+        if filter_first:
+            return self._join(other, on, self.table, [other.condition, self.condition], other.table.name)
         return self._join(other, on, self.table, [self.condition, other.condition])
 
     def right_semijoin(self, other: Rows, on) -> Joined:

@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.plans.catalog import Catalog
-from tidewater.plans.logical import Both, Compare, Field, Fragment, Query, Sender, Value
+from tidewater.plans.catalog import Catalog, sender_hash
+from tidewater.plans.logical import Both, Compare, Field, Fragment, Query, Sender, SenderHash, Value
 from tidewater.plans.types import TIMESTAMP, Type, stored
 
 
@@ -31,14 +31,15 @@ def constant(value: Any, t: Type, kind: str | None = None) -> Column:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog, caller: bytes | None = None, frames: dict[str, DataFrame] | None = None) -> None:
+    def __init__(self, catalog: Catalog, caller: bytes | None = None, frames: dict[str, DataFrame] | None = None, states: dict[str, DataFrame] | None = None) -> None:
         self.catalog = catalog
         self.caller = caller if caller is not None else catalog.owner
         self.frames = frames or {}  # by alias: instead of the table's current rows
+        self.states = states or catalog.frames  # by table
 
     def relation(self, alias: str, table: str) -> DataFrame:
         frame = self.frames.get(alias)
-        frame = self.catalog.frames[table] if frame is None else frame
+        frame = self.states[table] if frame is None else frame
         return frame.select(*[ref(c).alias(name_of(alias, c)) for c in frame.columns])
 
     def expression(self, e: Any, kinds: dict[str, str]) -> Column:
@@ -48,6 +49,8 @@ class Lowering:
             return constant(e.value, e.type)
         if isinstance(e, Sender):
             return F.lit(self.caller)
+        if isinstance(e, SenderHash):
+            return F.lit(sender_hash(self.caller))
         if isinstance(e, Both):
             spine = [e]
             while isinstance(spine[-1].left, Both):

@@ -42,6 +42,13 @@ def moved(positions: DataFrame, velocities: DataFrame, key: str, pairs: list[tup
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in positions.columns])
 
 
+def advanced(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """UPDATE rows SET p = p + v for every row, from its own columns; types stay."""
+    kinds = dict(rows.dtypes)
+    new = {a: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).cast(kinds[a]) for a, b in pairs}
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def transfer(accounts: DataFrame, orders: DataFrame, key: str = "id", balance: str = "balance") -> DataFrame:
     """Applies transfers (from, to, amount), all at once, that the sender's balance covers in total; a sender who
     cannot pay all sends nothing. Transfers to oneself or of nothing are ignored."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tidewater import functions as V
 from tidewater.engine import Database
+from tidewater.errors import ConstraintProblem
 from tidewater.operators import builder, delta, index, workloads
-from tidewater.operators.changes import matched
 from tidewater.plans import security
 from tidewater.plans.catalog import Catalog
 from tidewater.plans.logical import bind
 from tidewater.plans.types import BYTES, IDENTITY, U32, U64, Type
 from tidewater.sources import sinks
+from tidewater.sources.files import shared_dir
 from tidewater.sources.parquet import sample_catalog
 from tidewater.streaming import live, log
 
@@ -117,7 +119,7 @@ statement("filter_lit_left", "SELECT * FROM part WHERE 40 < p_size")
 statement("filter_col_col", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_suppkey = l_partkey")
 statement("filter_bool_const", "SELECT * FROM nation WHERE true = true")
 statement("filter_true", "SELECT * FROM region WHERE true")
-statement("filter_and", "SELECT * FROM part WHERE p_size = 7 AND p_retailprice > 1000")
+statement("filter_and", "SELECT * FROM part WHERE p_size = 7 AND p_retailprice > 902")
 statement("filter_or", "SELECT * FROM part WHERE p_size = 7 OR p_size = 9")
 statement("filter_nested", "SELECT * FROM part WHERE (p_size = 7 OR p_size = 9) AND (p_retailprice > 1000 OR p_brand = 'Brand#13')")
 statement("filter_negative", "SELECT * FROM customer WHERE c_acctbal < -500.5")
@@ -152,8 +154,10 @@ def _(db: Database) -> DataFrame:
 
 @query("view_per_sender", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 17")
 def _(db: Database) -> DataFrame:
-    view = live.sender_view(db.catalog.frames["orders"].select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey")
-    return live.of_sender(view, "17")
+    _with_identity(db)
+    rows = live.sender_view(db.catalog.frames["owned"].select("identity", "o_orderkey", "o_custkey", "o_totalprice"), "identity").drop("identity")
+    db.catalog.add("my_orders", rows, view=True, per_sender=True)
+    return db.sql("SELECT * FROM my_orders", caller(17))
 
 
 # -- joins
@@ -184,6 +188,14 @@ def _(db: Database) -> DataFrame:
     return c.where(lambda t: t.c_acctbal.gt(5000)).right_semijoin(o, lambda a, b: (a.c_custkey, b.o_custkey)).where(lambda t: t.o_totalprice.gt(100000)).frame()
 
 
+@query("qb_semijoin_filter_first", "SELECT o.* FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_acctbal > 8000 AND o.o_totalprice > 50000")
+def _(db: Database) -> DataFrame:
+    c, o = (builder.table(db.catalog, n) for n in ("customer", "orders"))
+    found = o.where(lambda t: t.o_totalprice.gt(50000)).left_semijoin(c.where(lambda t: t.c_acctbal.gt(8000)), lambda a, b: (a.o_custkey, b.c_custkey), filter_first=True)
+    assert found.sql.index('"customer" JOIN "orders"') < found.sql.index('"c_acctbal" >') < found.sql.index('"o_totalprice" >')
+    return found.frame()
+
+
 @query("qb_filter", "SELECT * FROM part WHERE (p_size >= 10 AND p_size <= 12) OR p_brand = 'Brand#13'")
 def _(db: Database) -> DataFrame:
     return builder.table(db.catalog, "part").where(lambda t: t.p_size.gte(10).and_(t.p_size.lte(12)).or_(t.p_brand.eq("Brand#13"))).frame()
@@ -228,13 +240,61 @@ changed("dml_delete", "orders", "DELETE FROM orders WHERE o_orderstatus = 'F' AN
 changed("dml_delete_all", "region", "DELETE FROM region", "SELECT * FROM region WHERE false")
 changed("dml_delete_by_key", "customer", "DELETE FROM customer WHERE c_custkey = 5", "SELECT * FROM customer WHERE c_custkey <> 5")
 changed("dml_update", "part", "UPDATE part SET p_size = 99, p_brand = 'none' WHERE p_size < 5", "SELECT p_partkey, p_name, CASE WHEN p_size < 5 THEN 'none' ELSE p_brand END AS p_brand, p_type, CASE WHEN p_size < 5 THEN 99 ELSE p_size END::INTEGER AS p_size, p_retailprice FROM part")
-changed("dml_update_all", "nation", "UPDATE nation SET n_name = 'x', n_nationkey = 1", "SELECT DISTINCT 1::INTEGER AS n_nationkey, 'x' AS n_name, n_regionkey FROM nation")
+# with its key the table would refuse it
+changed("dml_update_all", "nation", "UPDATE nation SET n_name = 'x', n_nationkey = 1", "SELECT DISTINCT 1::INTEGER AS n_nationkey, 'x' AS n_name, n_regionkey FROM nation", prepare=lambda db: db.catalog.add("nation", db.catalog.frames["nation"]))
 
 
 @query("dml_metrics", "SELECT count(*) AS matched FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(db: Database) -> DataFrame:
-    plan = bind(db.catalog, "DELETE FROM orders WHERE o_orderpriority = '1-URGENT'")
-    return matched(db.catalog, "orders", plan.where).agg(F.count(F.lit(1)).alias("matched"))
+    found = db.change("DELETE FROM orders WHERE o_orderpriority = '1-URGENT'").metrics()
+    return db.catalog.spark.createDataFrame([(found["deleted"],)], "matched bigint")
+
+
+@query("dml_metrics_all", "SELECT 'insert' AS verb, 1::BIGINT AS inserted, 0::BIGINT AS deleted, 0::BIGINT AS updated UNION ALL SELECT 'update', 0, 0, (SELECT count(*) FROM part WHERE p_size < 9) UNION ALL SELECT 'delete', 0, 1 + (SELECT count(*) FROM part WHERE p_size >= 45), 0")
+def _(db: Database) -> DataFrame:
+    part = db.catalog.frames["part"]
+    db.catalog.add("part", part.select("p_partkey", "p_size"), primary_key="p_partkey")
+    done = {
+        "insert": db.change("INSERT INTO part VALUES (-1, 50), (-1, 50)"),
+        "update": db.change("UPDATE part SET p_size = 8 WHERE p_size < 9"),
+        "delete": db.change("DELETE FROM part WHERE p_size >= 45"),
+    }
+    found = {k: {"inserted": 0, "deleted": 0, "updated": 0} | c.metrics() for k, c in done.items()}
+    return db.catalog.spark.createDataFrame([(k, m["inserted"], m["deleted"], m["updated"]) for k, m in found.items()], "verb string, inserted bigint, deleted bigint, updated bigint")
+
+
+_GAPS = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang FROM documents"
+
+
+@query("dml_delete_null", f"SELECT * FROM ({_GAPS}) d WHERE lang IS DISTINCT FROM 'de'")
+def _(db: Database) -> DataFrame:
+    gaps = db.catalog.frames["documents"].select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"))
+    db.catalog.add("d", gaps, primary_key="doc_id")
+    db.change("DELETE FROM d WHERE lang = 'de'")
+    return db.catalog.frames["d"]
+
+
+@query("dml_unique", "SELECT *, 3 AS refused FROM region")
+def _(db: Database) -> DataFrame:
+    refused = 0
+    for sql in ("INSERT INTO region VALUES (1, 'OTHER')", "INSERT INTO region VALUES (8, 'A'), (8, 'B')", "UPDATE region SET r_regionkey = 2 WHERE r_name = 'ASIA' OR r_name = 'EUROPE'"):
+        try:
+            db.change(sql)
+        except ConstraintProblem:
+            refused += 1
+    return db.catalog.frames["region"].withColumn("refused", F.lit(refused))
+
+
+@query("dml_many", "SELECT c_custkey, CASE WHEN c_custkey <= 11 THEN 'early' ELSE c_name END AS c_name FROM customer WHERE c_custkey <> 3 AND c_custkey <> 8 UNION ALL SELECT -k, 'new' FROM range(1, 8) t(k)")
+def _(db: Database) -> DataFrame:
+    """More statements than are stacked before the table's change is written."""
+    db.catalog.add("c", db.catalog.frames["customer"].select("c_custkey", "c_name"), primary_key="c_custkey")
+    for k in range(1, 8):
+        db.change(f"INSERT INTO c VALUES (-{k}, 'new')")
+    for k in (3, 8):
+        db.change(f"DELETE FROM c WHERE c_custkey = {k}")
+    db.change("UPDATE c SET c_name = 'early' WHERE c_custkey <= 11 AND c_custkey >= 0")
+    return db.catalog.frames["c"]
 
 
 @query("show_row_limit", "SELECT 500::BIGINT AS row_limit")
@@ -291,6 +351,12 @@ query("delta_scan_ins", f"SELECT * FROM orders WHERE {_ORDERS[0]}")(lambda db: d
 query("delta_scan_del", f"SELECT * FROM orders WHERE {_ORDERS[1]}")(lambda db: delta.deleted(transaction(db)["orders"]))
 
 
+@query("delta_index_scan", f"SELECT *, CASE WHEN {_ORDERS[0]} THEN 1 ELSE -1 END::BIGINT AS _w FROM orders WHERE ({_ORDERS[0]} OR {_ORDERS[1]}) AND o_custkey BETWEEN 10 AND 60")
+def _(db: Database) -> DataFrame:
+    """A range of an index over the rows that a transaction changed."""
+    return index.scan(transaction(db)["orders"], ("o_custkey",), index.Range(index.included(10), index.included(60)))
+
+
 @query("read_your_writes", f"SELECT * FROM orders WHERE NOT {_ORDERS[1]}")
 def _(db: Database) -> DataFrame:
     d = transaction(db)["orders"]
@@ -349,10 +415,12 @@ def _(db: Database) -> DataFrame:
     return delta.inserted(s.apply({"events": delta.weighted(rows, rows.limit(0))})[key])
 
 
-@query("prune_search_args", f"SELECT DISTINCT o_custkey::VARCHAR AS query_id FROM orders WHERE ({_ORDERS[0]} OR {_ORDERS[1]}) AND o_custkey <= 200")
+@query("prune_search_args", f"SELECT DISTINCT o_custkey::VARCHAR AS query_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_ORDERS[0]} OR {_ORDERS[1]}")
 def _(db: Database) -> DataFrame:
+    """A subscription to each customer's orders: those that a transaction concerns."""
     deltas = transaction(db)
-    asked = db.catalog.spark.range(201).select(F.col("id").cast("string").alias("query_id"), F.lit("o_custkey").alias("column"), F.col("id").cast("string").alias("value"))
+    key = F.col("c_custkey").cast("string")
+    asked = db.catalog.frames["customer"].select(key.alias("query_id"), F.lit("o_custkey").alias("column"), key.alias("value"))
     return live.pruned_by_value(deltas["orders"], asked)
 
 
@@ -374,20 +442,83 @@ def _(db: Database) -> DataFrame:
 
 @query("view_query", "SELECT * FROM supplier WHERE s_acctbal > 5000")
 def _(db: Database) -> DataFrame:
-    text = builder.table(db.catalog, "supplier").where(lambda t: t.s_acctbal.gt(5000)).sql
-    db.catalog.add("rich_suppliers", db.sql(text), view=True)
+    db.catalog.add_view("rich_suppliers", builder.table(db.catalog, "supplier").where(lambda t: t.s_acctbal.gt(5000)).sql)
     return db.sql("SELECT * FROM rich_suppliers")
 
 
+@query("view_query_live", f"SELECT *, 1::BIGINT AS _w FROM customer WHERE {_CUSTOMERS[0]} AND c_acctbal > 0 UNION ALL SELECT *, -1 FROM customer WHERE {_CUSTOMERS[1]} AND c_acctbal > 0")
+def _(db: Database) -> DataFrame:
+    """What a subscription to a query view sees of a transaction."""
+    deltas = transaction(db)
+    db.catalog.add_view("solvent", "SELECT * FROM customer WHERE c_acctbal > 0")
+    s = live.Subscriptions(db.catalog)
+    key, _ = s.subscribe("SELECT * FROM solvent")
+    return s.apply(deltas)[key]
+
+
 @query("view_recompute", f"SELECT o_custkey, count(*) AS n FROM orders WHERE NOT {_ORDERS[1]} GROUP BY o_custkey")
 def _(db: Database) -> DataFrame:
-    procedure = lambda: db.catalog.frames["orders"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    db.catalog.add("order_counts", procedure(), view=True)
-    after(db)
-    db.catalog.put("order_counts", procedure())  # it reads orders, which changed
+    deltas = transaction(db)
+    db.catalog.add_view("order_counts", procedure=lambda read: read("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
+    live.Subscriptions(db.catalog).apply(deltas)  # it reads orders, which change
     return db.sql("SELECT * FROM order_counts")
 
 
+# -- what changes nothing, transactions in one pass, pruned queries, a stream that is started again
+
+
+@query("ivm_noop", "SELECT *, 1::BIGINT AS _w FROM part WHERE p_size = 3 UNION ALL SELECT *, -1 FROM part WHERE p_size = 4")
+def _(db: Database) -> DataFrame:
+    """Rows that come again and rows that go without having been there are no change."""
+    p = db.catalog.frames["part"]
+    db.catalog.put("part", p.where("p_size NOT IN (3, 5)"))
+    s = live.Subscriptions(db.catalog)
+    key, _ = s.subscribe("SELECT * FROM part")
+    quiet, _ = s.subscribe("SELECT * FROM part WHERE p_size > 5")
+    out = s.apply({"part": delta.weighted(p.where("p_size IN (3, 6)"), p.where("p_size IN (4, 5)"))})
+    assert quiet not in out
+    return out[key]
+
+
+_TXS = [("p_size = 3", "p_size = 4"), ("p_size = 4", "p_size = 5"), ("p_size = 3", "p_size = 4")]
+
+
+@query("ivm_by_tx", "SELECT p_partkey, t.tx AS _tx, t.w::BIGINT AS _w FROM part JOIN (VALUES (3, 0, 1), (4, 0, -1), (4, 1, 1), (5, 1, -1), (4, 2, -1)) t(size, tx, w) ON p_size = t.size")
+def _(db: Database) -> DataFrame:
+    """Three transactions at once: each one's change on its own."""
+    p = db.catalog.frames["part"]
+    db.catalog.put("part", p.where("p_size <> 3"))
+    s = live.Subscriptions(db.catalog)
+    key, _ = s.subscribe("SELECT * FROM part")
+    changes = live.union([delta.weighted(p.where(came), p.where(gone)).withColumn(delta.TX, F.lit(i)) for i, (came, gone) in enumerate(_TXS)])
+    return s.apply({"part": changes})[key].select("p_partkey", delta.TX, delta.WEIGHT)
+
+
+@query("prune_apply", f"SELECT DISTINCT o_orderpriority AS priority FROM orders WHERE {_ORDERS[0]} OR {_ORDERS[1]}")
+def _(db: Database) -> DataFrame:
+    """Of the live queries for each priority those that a transaction concerns."""
+    deltas = transaction(db)
+    s = live.Subscriptions(db.catalog)
+    found = {}
+    for priority in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        found[s.subscribe(f"SELECT * FROM orders WHERE o_orderpriority = '{priority}'")[0]] = priority
+    return db.catalog.spark.createDataFrame([(found[k],) for k in s.apply({"orders": deltas["orders"]})], "priority string")
+
+
+@query("stream_restart", "SELECT * FROM part WHERE p_size NOT IN (4, 5) UNION ALL SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE p_size = 5")
+def _(db: Database) -> DataFrame:
+    """Two batches with a restart between them: the second builds on the first."""
+    spark, p = db.catalog.spark, db.catalog.frames["part"]
+    first = p.where("p_size <> 5")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    row = F.to_json(F.struct(*p.columns)).alias("row")
+    for i, rows in enumerate((delta.weighted(p.where("p_size = 5"), p.limit(0)), delta.weighted(p.limit(0), p.where("p_size = 4")))):
+        db.catalog.put("part", first)
+        rows.select(F.lit(i).cast("long").alias("_tx"), F.lit("part").alias("_table"), "_w", row).coalesce(1).write.json(f"{folder}/in/{i}")
+        live.LiveStream(live.Subscriptions(db.catalog), f"{folder}/out").start(spark, f"{folder}/in/*").awaitTermination()
+    return db.catalog.frames["part"]
+
+
 # -- row-level security
 
 
@@ -451,6 +582,16 @@ def _(db: Database) -> DataFrame:
     return fresh.agg(F.min("c_custkey").alias("first"), F.max("c_custkey").alias("second"))
 
 
+@query("auto_increment_after_delete", "SELECT c_custkey::BIGINT AS c_custkey, c_name FROM customer WHERE c_custkey < 20 UNION ALL SELECT max(c_custkey) + 3, 'third' FROM customer")
+def _(db: Database) -> DataFrame:
+    """Numbers are not given out again."""
+    db.catalog.add("named", db.catalog.frames["customer"].select("c_custkey", "c_name"), {"c_custkey": Type("I64")}, primary_key="c_custkey", sequence="c_custkey")
+    db.change("INSERT INTO named VALUES (0, 'first'), (0, 'second')")
+    db.change("DELETE FROM named WHERE c_custkey >= 20")
+    db.change("INSERT INTO named VALUES (0, 'third')")
+    return db.catalog.frames["named"]
+
+
 @query("pg_format", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def _(db: Database) -> DataFrame:
     return sinks.wire_rows(db.sql("SELECT * FROM nation"), db.catalog.tables["nation"].columns)
@@ -479,7 +620,7 @@ def _(db: Database) -> DataFrame:
 @query("wl_update_all", "SELECT p_partkey, p_name, p_brand, p_type, p_size + 3 AS p_size, p_retailprice FROM part")
 def _(db: Database) -> DataFrame:
     p = db.catalog.frames["part"]
-    return p.withColumn("p_size", F.col("p_size") + 3)
+    return workloads.advanced(p.withColumn("v", F.lit(3)), [("p_size", "v")]).drop("v")
 
 
 @query("wl_update_join", "SELECT c.c_custkey, c.c_acctbal + coalesce(s.s_acctbal, 0) AS c_acctbal FROM customer c LEFT JOIN supplier s ON c.c_custkey = s.s_suppkey")

@@ -29,6 +29,12 @@ def numbered(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n) for name in children(spark, path) if (n := name.rpartition("=")[2]).isdigit())
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under path."""
+    fs, place = _at(spark, path)
+    return fs.getContentSummary(place).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, place = _at(spark, path)
     fs.delete(place, True)
