@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources.files import remove, shared_dir
+from tidewater.sources.files import remove, shared_dir, size
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -33,14 +33,14 @@ def discard(*tables: DataFrame | None) -> None:
             remove(t.sparkSession, t._written)
 
 
-#: Rows of a few numbers that are broadcast; beyond it a join shuffles.
-FEW = 500_000
+#: Bytes on disk of a table of keys that is broadcast; beyond it a join shuffles.
+FEW = 8 << 20
 
 
 def few(keys: DataFrame, most: int = FEW) -> DataFrame:
-    """keys (a written table of short rows), broadcast if they are few. Told so before it is planned, a join does
+    """keys (a written table of short rows), broadcast if its files are small. Told so before it is planned, a join does
     not shuffle its other side, where one key may have a third of the rows."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    return F.broadcast(keys) if size(keys.sparkSession, keys._written) <= most else keys
 
 
 def release(spark: SparkSession) -> None:

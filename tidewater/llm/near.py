@@ -14,8 +14,8 @@ the bucket, unless they are known to be of one class. The few that then still ar
 their bucket are compared with all its other members: signatures first, in blocks of at most PART by PART, and then the texts
 of only those members of a block that have a candidate in it. So no candidate pair is dropped, and pairs that must link nothing are not made.
 
-Pairs whose signatures agree in less than LEAST of the registers are not verified: at a similarity of 0.8 that is over
-seven standard deviations off (a chance below 1e-11, where the bands miss 1e-6). With ``least`` 0 every pair that shares a band is verified.
+Pairs whose signatures agree in less than LEAST of the registers are not verified: at a similarity of 0.8 that is five
+standard deviations off (a chance of 5e-7, where the bands miss 1e-6). With ``least`` 0 every pair that shares a band is verified.
 
 Long texts: shingles are made from parts of CHARS characters, and words longer than LONGEST stand as their digest.
 
@@ -43,7 +43,7 @@ from tidewater.llm.rolling import Sums
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 26
 M = ROWS * BANDS
-LEAST, LEADERS, PART = 0.5, (1, 6), 2048
+LEAST, LEADERS, PART = 0.6, (1,), 2048
 #: Characters, and shingles, worked on at once; characters of a word.
 CHARS, SHINGLES, LONGEST = 1 << 19, 1 << 20, 4096
 _U = np.uint64
@@ -303,15 +303,14 @@ class _Linker:
         """a, b of every node that is not the least of its class, or None; written."""
         members = self.members
         for k, n in enumerate((*LEADERS, None)):
-            before, members = members, self.open(members)
+            before = members
+            # after a round buckets of two nodes have no other pair
+            members = self.open(members if not k else members.where("size > 2"))
             discard(before)
             if members.isEmpty():
                 break
             self.add(self._led(members, k, n) if n else self._rest(members))
             release(self.spark)
-            if k == 0 and n:  # buckets of two nodes have no other pair
-                before, members = members, written(members.where("size > 2"), "near-open")
-                discard(before)
         discard(members, self.signatures, self.texts)
         return self.links
 
