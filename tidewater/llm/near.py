@@ -379,28 +379,50 @@ def _close_within(least: float):
     return run
 
 
+class _Sets:
+    """The weighted shingle sets of a block's texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        owner, self.value, self.weight = shingles(texts)
+        self.cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.plain = np.ones(len(texts), bool)  # every shingle once
+        self.plain[owner[self.weight > 1]] = False
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        here = slice(self.cut[i], self.cut[i + 1])
+        return self.value[here], self.weight[here]
+
+    def similarities(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of text i to others: plain sets at once, the rest one by one."""
+        out = np.zeros(len(others))
+        quick = np.flatnonzero(self.plain[others] & self.plain[i])
+        if len(quick):
+            mine, begin = self.one(i)[0], self.cut[others[quick]]
+            size = self.cut[others[quick] + 1] - begin
+            first = np.cumsum(size) - size
+            theirs = self.value[np.arange(size.sum()) + np.repeat(begin - first, size)]
+            both = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            shared = np.add.reduceat(both, first, dtype=np.int64)
+            out[quick] = shared / (len(mine) + size - shared)
+        for n in np.flatnonzero(~(self.plain[others] & self.plain[i])).tolist():
+            out[n] = similarity(self.one(i), self.one(int(others[n])))
+        return out
+
+
 def _links_within(threshold: float, least: float):
     def run(rows: pa.Table) -> pa.Table:
         nodes = rows["node"].to_pylist()
-        owner, value, weight = shingles(rows["words"].to_pylist())
-        cut = np.searchsorted(owner, np.arange(len(nodes) + 1))
-        parent: dict[bytes, bytes] = {}
-
-        def root(x: bytes) -> bytes:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        label = rows["label"].to_pylist()
+        sets = _Sets(rows["words"].to_pylist())
+        codes: dict[bytes, int] = {}
+        of = np.array([codes.setdefault(v, len(codes)) for v in rows["label"].to_pylist()])  # class of each row so far
         found: list[tuple[bytes, bytes]] = []
         for i, near in _candidates(rows, least):
-            for j in near.tolist():
-                x, y = root(label[i]), root(label[j])
-                if x == y:
-                    continue
-                a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
-                if similarity((value[a], weight[a]), (value[b], weight[b])) >= threshold - 1e-12:
-                    parent[max(x, y)] = min(x, y)
+            near = near[of[near] != of[i]]
+            if not len(near):
+                continue
+            for j in near[sets.similarities(i, near) >= threshold - 1e-12].tolist():
+                if of[j] != of[i]:
+                    of[of == of[j]] = of[i]
                     found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
