@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import discard, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows aimed at per bucket of a running sum.
@@ -70,12 +70,12 @@ def _place(epoch: int) -> Column:
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
     """keep, size, source_size, target and takes (array<long>: the words taken in each epoch) of every row."""
     sized = docs.select(*keep, F.col("source").alias("_source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))).alias("shuffled"))
-    sized = written(sized, "mix-sizes")  # a few bytes a row; the texts are read once
-    buckets = min(MOST_BUCKETS, max(1, sized.count() // BUCKET_ROWS))
+    sized_ = written(sized, "mix-sizes")  # a few bytes a row; the texts are read once
+    buckets = min(MOST_BUCKETS, max(1, sized_.count() // BUCKET_ROWS))
     u = F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long")
-    sized = sized.withColumn("bucket", F.shiftright(u * buckets, 32))
+    sized = sized_.withColumn("bucket", F.shiftright(u * buckets, 32))
     parts = sized.groupBy("_source", "bucket").agg(F.sum("size").alias("part"))
-    goal = targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("part").alias("source_size")), weights, share)
+    goal = written(targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("part").alias("source_size")), weights, share), "mix-targets")
     before = Window.partitionBy("_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("_source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("part").over(before), F.lit(0)).alias("before"))
     parts = parts.join(goal, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
@@ -86,6 +86,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id"
         .withColumn("upto", F.col("before") + F.col("inside"))
         .drop("_s", "_b", "before", "inside", "bucket")
     )
+    queued = written(queued, "mix-queued")  # what follows reads it three times
+    discard(sized_)
     budget = goal.agg(F.floor(F.coalesce(F.sum("target"), F.lit(0.0))).alias("budget")).scalar()
     passes = queued.select("size", F.explode(F.array(*[_place(e) for e in range(EPOCHS)])).alias("place"))
     passes = passes.withColumn("range", F.floor(F.col("place.finish") * (4 * buckets)))
