@@ -6,7 +6,7 @@ that needs more lists than a walk finds (BREADTH). A vector goes to its nearest
 replicated to other lists whose centroid is nearly as near (within BOUNDARY) unless a chosen centroid
 lies about where theirs does (BETWEEN). A query scans the lists whose centroid is at most PRUNE times as far as the
 nearest one, and further ones until these hold enough vectors; their number has no other bound, so where all
-centroids are about equally far (unit vectors that point anywhere) a query scans nearly all lists.
+centroids are about equally far (unit vectors that point anywhere) a query scans many lists.
 
 Equal vectors are one entry of a list with their k + 1 smallest ids, which is all that any answer
 can need; so a vector that a third of the rows share costs no more than another. A list that is
@@ -24,6 +24,7 @@ the columns named are read, so extra columns can't clash.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from tidewater.llm.common import written
 
 SAMPLE, SAMPLE_BYTES, LIST, MOST_LISTS, PART, TURN = 65_536, 64 << 20, 128, 16_384, 4096, 1 << 16
 #: Links of a centroid, breadth of a query's walk and of a vector's, most lists of a vector, nearness for replicas, and of probed lists.
-LINKS, BREADTH, HOME_BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 96, 32, 5, 1.15, 1.45
+LINKS, BREADTH, HOME_BREADTH, REPLICAS, BOUNDARY, PRUNE = 24, 96, 16, 2, 1.15, 1.15
 #: A centroid is left out for replicas only if a chosen one is nearer to it than this share of its distance to
 #: the vector; near 1 no replica is left in many dimensions, where centroids lie nearer to each other than to vectors.
 BETWEEN = 0.2
@@ -77,6 +78,10 @@ class Index:
     links: np.ndarray  # (lists, links) of the neighbour graph
     entries: np.ndarray  # where walks start
 
+    @functools.cached_property
+    def single(self) -> np.ndarray:
+        return self.centroids.astype(np.float32)
+
     @classmethod
     def over(cls, centroids: np.ndarray) -> Index:
         n = len(centroids)
@@ -128,8 +133,10 @@ class Index:
         return np.take_along_axis(found, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
     def _to(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        diff = self.centroids[lists] - x[:, None, :]
-        return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        """In single precision, which is enough to choose lists."""
+        near = self.single[lists]
+        near -= x[:, None, :].astype(np.float32)
+        return np.sqrt(np.einsum("ijk,ijk->ij", near, near))
 
     def homes(self, x: np.ndarray) -> Iterator[list[int]]:
         """The lists of each vector, found by a walk."""
