@@ -183,12 +183,21 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, least):
     monkeypatch.setattr(near, "LEADERS", (1,))
     monkeypatch.setattr(near, "PART", 5)
     common = words(60, 50)
-    docs = [(i, common + " " + words(25, 300 + i)) for i in range(40)] + [(100 + i, common + " " + words(25, 300 + i) + f" more{i}") for i in range(0, 40, 3)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    docs = [(i, common + " " + words(25, 300 + i)) for i in range(14)] + [(100 + i, common + " " + words(25, 300 + i) + f" more{i}") for i in range(0, 14, 3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
     found = {r.doc_id: r.class_id for r in near.classes(df, least=least).collect()}
     assert found == brute.near(docs) and len(set(found.values())) < len(found)
 
 
+def test_similarities_of_a_block():
+    texts = [near.canonical(t) for t in ("a b c d e f g h", "a b c d e f g x", "q", "a b c d e f g h a b c d e f", "q r", "la la la la la la la", "a b c d e f g h")]
+    sets = near._Sets(texts)
+    for i in range(len(texts)):
+        others = np.array([j for j in range(len(texts)) if j != i])
+        want = [brute.probability_jaccard(brute.shingles(texts[i]), brute.shingles(texts[j])) for j in others]
+        assert sets.similarities(i, others) == pytest.approx(want)
+
+
 def test_shingles_of_long_texts(monkeypatch):
     text = words(3000, 20) + " " + "x" * 9000 + " " + words(500, 21)
     whole = near.shingles([near.canonical(text)])
@@ -673,6 +682,34 @@ def test_parts_of_long_lists(spark, monkeypatch):
     assert got == [v for v, _ in exact(vectors, 0, 10)]
 
 
+def test_repeated_ids_have_their_least_vector(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [3.0, 1.0]), (1, [2.0, 9.0]), (1, [2.0, 8.0]), (2, [5.0, 0.0])], "vec_id bigint, embedding array<double>")
+    for parts in (1, 3):
+        assert sorted((r.vec_id, r.score) for r in ann.search(df.repartition(parts), F.col("vec_id") == 0).collect()) == [(1, pytest.approx(65**0.5)), (2, 4.0)]
+
+
+def test_recall_on_vectors_that_point_anywhere(spark):
+    """The hardest kind, at the registered query's parameters."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    x = np.float32(x / np.linalg.norm(x, axis=1)[:, None])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    far = ann._distances(x[::100].astype(float), x.astype(float))
+    far[np.arange(60), np.arange(0, 6000, 100)] = np.inf
+    assert np.mean([len(found[100 * i] & {*w}) / 10 for i, w in enumerate(np.argsort(far, axis=1)[:, :10].tolist())]) > 0.95
+
+
+def test_wide_vectors_bound_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 8 * 64 * 50)
+    rng = np.random.default_rng(12)
+    vectors = {i: rng.normal(size=64).tolist() for i in range(500)}
+    got = ann.search(spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>"), F.col("vec_id") == 3).sort("rank").collect()
+    assert len(got) == 10 and len({r.vec_id for r in got} & {v for v, _ in exact(vectors, 3, 10)}) >= 8
+
+
 def test_balanced_lists():
     points = np.random.default_rng(2).normal(size=(1000, 8))
     centroids = ann.bisected(points, 8)
@@ -683,7 +720,8 @@ def test_balanced_lists():
     assert np.mean(index.walk(points)[0][:, 0] == nearest) > 0.99
 
 
-def test_probing_ends_by_the_ratio():
+def test_probing_ends_by_the_ratio(monkeypatch):
+    monkeypatch.setattr(ann, "PRUNE", 1.45)  # as these lists of ten need it to reach beyond a walk
     rng = np.random.default_rng(3)
     points = rng.normal(size=(4000, 64))
     points /= np.linalg.norm(points, axis=1)[:, None]
