@@ -322,19 +322,11 @@ def transaction(db: Database) -> dict[str, DataFrame]:
     return deltas
 
 
-def after(db: Database) -> dict[str, DataFrame]:
-    """The same, with the states after it in the catalogue."""
-    deltas = transaction(db)
-    for n, d in deltas.items():
-        db.catalog.put(n, live.fold(db.catalog.frames[n], d))
-    return deltas
-
-
 def change_of(db: Database, sql: str) -> DataFrame:
-    deltas = after(db)
+    deltas = transaction(db)
     found = bind(db.catalog, sql)
     delta.check(db.catalog, found)
-    return delta.change(db.catalog, found, deltas)
+    return delta.change(db.catalog, found, deltas, before=True)
 
 
 def _old_new(body: str) -> tuple[str, str]:
