@@ -34,6 +34,15 @@ from tidewater.llm.common import bounded_batches, lean
 
 #: White space of the library's pattern engine (Python's also has \x1c-\x1f).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The library knows Unicode 16 (and lower cases of 17), Python may know less and the pattern module more. First and last
+#: code point of where Unicode 16 added letters and digits; lower cases that Unicode 16 and 17 added, by first and last code point, and
+#: the lower case of the first.
+ADDED = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113E2), (0x116D0, 0x116E3),
+    (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
+]
+LOWER = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+_LOWER = {first + i: low + i for first, last, low in LOWER for i in range(last - first + 1)}
 #: Words with more parts use a heap; pieces kept in a worker's dictionary and again in the one before; longest kept there.
 LONG, KEPT, KEPT_LENGTH = 64, 80_000, 64
 #: Bits of an id; the rank of a pair that is never merged.
@@ -49,6 +58,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in kept else chr(next(other)) for b in range(256)]
 
 
+def _added(cp: int) -> bool:
+    return any(first <= cp <= last for first, last in ADDED)
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -116,8 +129,7 @@ class WordBpe:
     def _words(self, piece: str) -> list[str]:
         if max(piece) < "\u0378" or not any(unicodedata.category(c) == "Cn" for c in piece):  # below, all are assigned
             return self.split.findall(piece)
-        # the pattern module knows newer letters than the library; to that, unassigned is no letter
-        known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in piece)
+        known = "".join(c if unicodedata.category(c) != "Cn" or _added(ord(c)) else "\ue000" for c in piece)
         return [piece[m.start() : m.end()] for m in self.split.finditer(known)]
 
     def _piece(self, piece: str) -> bytes:
@@ -129,6 +141,8 @@ class WordBpe:
             ids = self.merged(piece.lower().encode())
         else:
             plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+            if max(plain) >= "\u1c89":
+                plain = plain.translate(_LOWER)
             ids = [i for word in self._words(plain.lower()) for i in self.merged(word.encode())]
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= KEPT_LENGTH:
