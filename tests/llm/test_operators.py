@@ -294,6 +294,16 @@ def test_bpe_agrees_with_the_library(coders, parts):
     assert ids == struct.pack(f"<{len(want.ids)}I", *want.ids) and decoded == theirs.decode(want.ids, skip_special_tokens=False) == ours.decode(want.ids)
 
 
+def test_bpe_of_letters_newer_than_python(coders):
+    """Every code point that Python's tables do not know."""
+    import unicodedata
+
+    ours, theirs = coders
+    texts = [f"a{c}b1{c}2" for cp in range(0x378, 0x33500) if unicodedata.category(c := chr(cp)) == "Cn"]
+    wrong = [t for t, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True) if ours.ids(t) != struct.pack(f"<{len(want.ids)}I", *want.ids)]
+    assert not wrong
+
+
 def test_bpe_of_long_words(coders, monkeypatch):
     ours, theirs = coders
     text = "th" * 3000 + "eer" * 500
