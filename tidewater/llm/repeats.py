@@ -251,9 +251,10 @@ def _single(contexts: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(x) for x in (window, plain["gram"], plain["context"], low, plain["ord"], plain["tie"], plain["spot"])], names=names)
 
     each = contexts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
-    place = F.struct("ord", "tie", "spot")
-    first = each.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
-    return each.join(first, "window").where(place > F.col("first")).select("gram", "context", "low", F.col("low").alias("high"))
+    first = each.groupBy("window").agg(F.min(F.struct("ord", "tie", "spot", "context")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
+    # a filter may have passed further occurrences of a context; that it has its own windows is nothing to remove
+    other = F.col("context") != F.col("first.context")
+    return each.join(first, "window").where(other).select("gram", "context", "low", F.col("low").alias("high"))
 
 
 def windows(blocks: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
