@@ -105,6 +105,17 @@ def test_repeats(spark, monkeypatch, hot, crowd, piece):
     assert found == {i: (*v[:4], v[4].decode("utf-8", "ignore")) for i, v in brute.repeats(docs).items()}
 
 
+@pytest.mark.parametrize("crowd", [512, 1])
+def test_repeats_with_filled_filters(spark, monkeypatch, crowd):
+    """Filters that let everything pass change nothing."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats.bloom, "build", lambda keys, n: np.full(1 << 16, 255, np.uint8))
+    line = words(20, 70)[:130]
+    docs = repeat_docs() + [(200 + i, words(12, 400 + i % 5) + " " + line + " " + words(12, 500 + i)) for i in range(12)]
+    found = {r[0]: r[1:5] for r in rows(repeats.remove(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)))}
+    assert found == {i: v[:4] for i, v in brute.repeats(docs).items()}
+
+
 def test_pieces_have_the_anchors_of_the_whole(monkeypatch):
     rng = np.random.default_rng(6)
     for data in (rng.integers(97, 100, 20_000), np.full(5000, 122), np.tile(rng.integers(0, 256, 70), 90)):
