@@ -231,7 +231,7 @@ def _contexts(texts: DataFrame, wanted, hot) -> DataFrame:
 
 def _single(contexts: DataFrame) -> DataFrame:
     """gram, context, low, high (the same): windows of contexts that an earlier context of their key has, window by
-    window. Equal windows are one key, so their earliest place is a minimum, formed before the shuffle."""
+    window; written. Equal windows are one key, so their earliest place is a minimum, formed before the shuffle."""
     names = ["window", "gram", "context", "low", "ord", "tie", "spot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,10 @@ def _single(contexts: DataFrame) -> DataFrame:
     first = each.groupBy("window").agg(F.min(F.struct("ord", "tie", "spot", "context")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
     # a filter may have passed further occurrences of a context; that it has its own windows is nothing to remove
     other = F.col("context") != F.col("first.context")
-    return each.join(first, "window").where(other).select("gram", "context", "low", F.col("low").alias("high"))
+    first = written(first, "repeats-windows")
+    out = written(each.join(few(first), "window").where(other).select("gram", "context", "low", F.col("low").alias("high")), "repeats-single")
+    discard(first)
+    return out
 
 
 def windows(blocks: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -429,7 +432,7 @@ def intervals(texts: DataFrame, size: int) -> DataFrame:
     in_arrays, single = contexts, None
     if not crowded.isEmpty():
         in_arrays = contexts.join(few(crowded), "key", "left_anti")
-        single = written(_single(contexts.where("dealt").join(few(crowded), "key", "left_semi")), "repeats-single")
+        single = _single(contexts.where("dealt").join(few(crowded), "key", "left_semi"))
     in_arrays = in_arrays.repartition(partitions, "key").sortWithinPartitions("key")
     arrays = written(_ranges(in_arrays), "repeats-ranges")
     discard(contexts, crowded)
