@@ -38,6 +38,15 @@ def test_query(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(list(other.columns), other.fetchall())
 
 
+def test_subscriptions_of_customers_that_the_transaction_inserts(spark):
+    customer = spark.read.parquet(f"{SF}/customer.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderpriority IN ('1-URGENT', '5-LOW')")
+    changed = {str(r[0]) for r in orders.select("o_custkey").distinct().collect()}
+    fresh = {str(r[0]) for r in customer.where("c_mktsegment = 'BUILDING'").select("c_custkey").collect()} & changed
+    found = {r[0] for r in queries()["prune_search_args"](spark, SF).collect()}
+    assert fresh and fresh <= found
+
+
 def test_entry_without_the_pipeline_operators(spark):
     import __spark_entry__ as entry
 

@@ -409,11 +409,10 @@ def _(db: Database) -> DataFrame:
 
 @query("prune_search_args", f"SELECT DISTINCT o_custkey::VARCHAR AS query_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_ORDERS[0]} OR {_ORDERS[1]}")
 def _(db: Database) -> DataFrame:
-    """A subscription to each customer's orders: those that a transaction concerns."""
-    deltas = transaction(db)
+    """A subscription to each customer's orders, also of those that the transaction inserts: those that it concerns."""
     key = F.col("c_custkey").cast("string")
     asked = db.catalog.frames["customer"].select(key.alias("query_id"), F.lit("o_custkey").alias("column"), key.alias("value"))
-    return live.pruned_by_value(deltas["orders"], asked)
+    return live.pruned_by_value(transaction(db)["orders"], asked)
 
 
 @query("prune_join_edge", f"SELECT DISTINCT c_nationkey::VARCHAR AS query_id FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE {_ORDERS[0]} OR {_ORDERS[1]}")
