@@ -484,6 +484,19 @@ def test_language_of_long_texts(spark, monkeypatch):
     assert lang == again and abs(score - about) < 0.02 and [s[2] for s in parts] == [s[2] for s in spans] and parts[-1][1] == spans[-1][1]
 
 
+def test_language_of_long_texts_beside_texts_without_words(spark):
+    m = toy_model(spark)
+    gap = " " * (langid.LONG + 1)
+    texts = ["the water" + gap + "the house", gap, None, "12", "das haus" + gap, "the house"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r[0]: (r[1], r[2]) for r in langid.predict(docs, m).collect()}
+    assert found == {0: ("en", 1.0), 1: ("und", 0.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("de", 1.0), 5: ("en", 1.0)}
+    for t in texts:
+        assert langid.label([t], m) == langid.label([None, "12", t], m)[2:]
+    nothing = langid.Model([], np.zeros((langid.BUCKETS, 0), np.float32), np.zeros((256, 0), bool), 0)
+    assert langid.label([texts[0]], nothing) == [("und", 0.0)]
+
+
 def test_language_fit_draws_different_texts(spark):
     data = [("en", "the house")] * 600 + [("en", f"cold water {i}") for i in range(300)] + [("de", "das haus")] * 300
     m = langid.fit(spark.createDataFrame(data, "lang string, text string"), per_lang=50)

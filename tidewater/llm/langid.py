@@ -165,6 +165,11 @@ def _cut(text: str) -> Iterator[tuple[int, str]]:
         start = stop
 
 
+def _sums(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Sums of weights by place, as doubles also where there are none (bincount then gives integers)."""
+    return np.bincount(at, weights=weights, minlength=n).astype(np.float64, copy=False)
+
+
 def _shares(texts: list[str], model: Model, spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
     """Of each text: characters of words by language, of all words, letters, and the spans."""
     words = Words(texts)
@@ -172,9 +177,9 @@ def _shares(texts: list[str], model: Model, spans: bool) -> tuple[np.ndarray, np
     k = len(model.langs)
     text_of = np.repeat(np.arange(len(texts)), np.diff(words.of_text))
     known = model.candidates[words.script].any(axis=1)
-    share = np.bincount(text_of * k + labels.astype(np.intp), weights=words.length * known, minlength=len(texts) * k).reshape(-1, k) if k else np.zeros((len(texts), 0))
-    size = np.bincount(text_of, weights=words.length, minlength=len(texts))
-    letters = np.bincount(text_of, weights=words.letters, minlength=len(texts))
+    share = _sums(text_of * k + labels.astype(np.intp), words.length * known, len(texts) * k).reshape(-1, k) if k else np.zeros((len(texts), 0))
+    size = _sums(text_of, words.length, len(texts))
+    letters = _sums(text_of, words.letters, len(texts))
     parts: list[list] = [[] for _ in texts]
     for i in range(len(texts)) if spans and k else ():
         a, b = words.of_text[i : i + 2]
