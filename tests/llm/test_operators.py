@@ -220,6 +220,44 @@ def test_shingles_of_long_texts(monkeypatch):
     assert (parts[1][mine] == whole[1]).all() and (parts[2][mine] == whole[2]).all() and (near.signatures(*parts, 3)[1] == marks).all()
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_large_class_is_spread_over_tasks(spark, monkeypatch, broadcast):
+    texts = ["the same words in every copy of this text"] * 4000 + [f"another text of its own is number {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    if not broadcast:
+        monkeypatch.setattr(near, "few", lambda keys: keys)
+    adaptive = "spark.sql.adaptive."
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.openCostInBytes": "16m", adaptive + "coalescePartitions.enabled": "false", adaptive + "advisoryPartitionSizeInBytes": "16k", adaptive + "skewJoin.skewedPartitionThresholdInBytes": "16k", adaptive + "skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = near.classes(df).select("doc_id", "class_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.class_id for r in found} == {i: 0 if i < 4000 else i for i in range(4400)}
+    assert max(Counter(r.task for r in found if r.class_id == 0).values()) < 2500
+
+
+def test_signatures_of_copies_do_not_meet(spark, monkeypatch):
+    plans, plain = {}, near.written
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return plain(df, name)
+
+    monkeypatch.setattr(near, "written", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near.classes(spark.createDataFrame([(i, f"words that all of them have and {i % 2}") for i in range(20)], "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    place = {op: [i for i, line in enumerate(plans["near-signatures"]) if op in line] for op in ("Join", "Aggregate")}
+    assert place["Join"] and place["Aggregate"] and max(place["Join"]) < min(place["Aggregate"])
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "A b  c"), (4, "A b  c"), (2, "x"), (None, None), (None, None)], "doc_id bigint, text string")
     assert Counter((r.doc_id, r.class_id) for r in near.classes(df).collect()) == {(None, 4): 1, (4, 4): 2, (2, 2): 1, (None, None): 2}

@@ -241,7 +241,8 @@ class _Linker:
         discard(shared)
         wanted = written(self.members.select("node").distinct(), "near-wanted")
         n = wanted.count()
-        self.signatures = written(sketches.join(wanted, "node", "left_semi").select("node", "signature").dropDuplicates(["node"]), "near-signatures")
+        # copies go before the shuffle, so that many of one text don't meet in one task
+        self.signatures = written(sketches.where("has").select("node", "signature").dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "near-signatures")
         self.texts = self._texts(docs, wanted, n)
         discard(wanted)
         self.links = None
@@ -443,8 +444,9 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
     none = F.lit(-(1 << 63))
     rows = written(rows, "near-rows")
     discard(sketches, links)
-    least = rows.groupBy("node").agg(F.min(F.when(F.col("ord") != none, F.col("ord"))).alias("class_id"), F.min(F.struct("ord", "tie")).alias("first"))
-    return rows.join(least, "node").select("ord", "tie", F.when(F.col("ord") != none, F.col("ord")).alias(id), "class_id", "first")
+    firsts = rows.groupBy("node").agg(F.min(F.when(F.col("ord") != none, F.col("ord"))).alias("class_id"), F.min(F.struct("ord", "tie")).alias("first"))
+    # written, so that a join with a large class is one that AQE splits: it splits none that has an aggregation below it
+    return rows.join(few(written(firsts, "near-firsts")), "node").select("ord", "tie", F.when(F.col("ord") != none, F.col("ord")).alias(id), "class_id", "first")
 
 
 def keys(id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
