@@ -1,6 +1,7 @@
 """Results, live deltas, the log, streams, builders, printing."""
 
 import json
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
@@ -329,3 +330,25 @@ def test_workloads(spark):
     accounts = spark.createDataFrame([(1, 100), (2, 10), (3, 0)], "id int, balance bigint")
     orders = spark.createDataFrame([(1, 2, 60), (1, 3, 40), (2, 3, 11), (3, 3, 5), (1, 9, 0)], "from int, to int, amount bigint")
     assert bag(workloads.transfer(accounts, orders)) == {(1, 0): 1, (2, 70): 1, (3, 40): 1}
+
+
+def test_overlaps_of_many_and_of_unlike_radii(spark, monkeypatch):
+    """One giant makes no cell of everything, one crowded cell no task of everything, and equal things are all there."""
+    rng = random.Random(5)
+
+    def things(n, ids):
+        rows = [(ids + i, rng.choice([0.0, 1.5, -2.0, 7.0, 31.0]) if i % 3 else rng.uniform(-40, 40), float(rng.randrange(-9, 9)), rng.choice([0, 1, 2, 4, 16, 17, 63, None])) for i in range(n)]
+        return [*rows, (ids + n, 100.0, 0.0, 10_000), (ids + n + 1, None, 0.0, 4), (ids + n + 2, float("inf"), 0.0, 4), (ids + n + 3, 1e300, -1e300, 4), (None, 7.0, 0.0, 16)]
+
+    monkeypatch.setattr(workloads, "EQUAL", 40, raising=False)
+    for n, m in ((150, 60), (40, 130), (3, 0)):
+        a, b = things(n, 0), things(m, 1000) if m else []
+        near = lambda c, f: None not in (c[1], f[1]) and math.sqrt((c[1] - f[1]) * (c[1] - f[1]) + (c[2] - f[2]) * (c[2] - f[2])) < max(math.sqrt(c[3] or 0), math.sqrt(f[3] or 0))
+        expected = Counter((c[0], f[0]) for c in a for f in b if near(c, f))
+        circles, food = (spark.createDataFrame(rows, "id int, x double, y double, mass int") for rows in (a, b))
+        assert not b or len(expected) > 500
+        assert bag(workloads.overlaps(circles, food)) == expected
+        found = workloads.overlaps(circles, food, crowd=4, pairs=200)
+        assert bag(found) == expected
+        sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert not b or len(sizes) > 3 and max(sizes) < sum(expected.values()) / 2
