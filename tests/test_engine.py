@@ -352,3 +352,30 @@ def test_overlaps_of_many_and_of_unlike_radii(spark, monkeypatch):
         assert bag(found) == expected
         sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert not b or len(sizes) > 3 and max(sizes) < sum(expected.values()) / 2
+
+
+def test_transfers_are_not_sorted(spark):
+    """A task of a join with many transfers holds keys of accounts, not the transfers."""
+    rng = random.Random(7)
+    funds = {i: rng.randrange(400) for i in range(60)}
+    orders = [(rng.choice([1, rng.randrange(70)]), rng.choice([2, rng.randrange(70)]), rng.randrange(-1, 9)) for _ in range(3000)] + [(None, 3, 5), (4, None, 1)]
+    valid = [o for o in orders if None not in o and o[0] != o[1] and o[2] > 0]
+    spent = Counter()
+    for f, _, n in valid:
+        spent[f] += n
+    expected = dict(funds)
+    for f, t, n in valid:
+        if f in funds and t in funds and funds[f] >= spent[f]:
+            expected[f] -= n
+            expected[t] += n
+    assert expected != funds
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = workloads.transfer(spark.createDataFrame(list(funds.items()), "id int, balance bigint"), spark.createDataFrame(orders, "from int, to int, amount bigint"))
+        assert bag(found) == Counter(expected.items())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("ShuffledHashJoin" in line for line in semi)

@@ -123,13 +123,17 @@ def advanced(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def transfer(accounts: DataFrame, orders: DataFrame, key: str = "id", balance: str = "balance") -> DataFrame:
     """Applies transfers (from, to, amount), all at once, that the sender's balance covers in total; a sender who
-    cannot pay all sends nothing. Transfers to oneself or of nothing are ignored."""
+    cannot pay all sends nothing. Transfers to oneself or of nothing are ignored.
+
+    The transfers pass by hashed keys of accounts and are not sorted, so a task holds accounts of its part and no transfers.
+    """
     valid = orders.where("`from` <> `to` and amount > 0")
     spent = valid.groupBy("from").agg(F.sum("amount").alias("spent"))
     able = accounts.select(F.col(key).alias("from"), F.col(balance).alias("_b")).join(spent, "from").where("_b >= spent").select("from")
-    paid = valid.join(able, "from", "left_semi").join(accounts.select(F.col(key).alias("to")), "to", "left_semi")
-    out = paid.select(F.col("from").alias("_k"), (-F.col("amount")).alias("_d"))
-    net = out.unionByName(paid.select(F.col("to").alias("_k"), F.col("amount").alias("_d"))).groupBy("_k").agg(F.sum("_d").alias("_d"))
+    known = accounts.select(F.col(key).alias("to"))
+    paid = valid.join(able.hint("shuffle_hash"), "from", "left_semi").join(known.hint("shuffle_hash"), "to", "left_semi")
+    ends = [F.struct(F.col(k).alias("_k"), d.alias("_d")) for k, d in (("from", -F.col("amount")), ("to", F.col("amount")))]
+    net = paid.select(F.inline(F.array(*ends))).groupBy("_k").agg(F.sum("_d").alias("_d"))
     joined = accounts.join(net, F.col(key) == F.col("_k"), "left")
     new: Column = F.col(balance) + F.coalesce("_d", F.lit(0))
     return joined.select(*[(new if c == balance else F.col(c)).alias(c) for c in accounts.columns])
